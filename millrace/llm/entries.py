@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, records, token_cache
+from . import language, near_dup, packing, records, token_cache
 from .common import fresh_path
 from .encoding import tokenizer_path
 
@@ -24,6 +24,10 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(spark, manifest)
 
 
+def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_cache.token_counts(docs, fresh_path(spark, "token-cache"), tokenizer=tokenizer_path(BYTE_BPE))
