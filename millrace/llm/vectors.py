@@ -2,8 +2,9 @@
 
 1. Rotation. On a bounded sample of unit vectors (the first in the order of a hash of
    the id) iterative quantisation alternates codes sign(V R) and the orthogonal R that
-   brings V R nearest to them, V being the sample less its mean. Several starts give
-   several rotations, so that more bits than dimensions are at hand.
+   brings V R nearest to them. Several starts give several rotations, so that more bits
+   than dimensions are at hand. The mean stays in: without it the angle between two
+   vectors that lie near the mean would be another, and the tables could miss them.
 2. Tables. The code of every vector is cut into substrings; vectors that agree in one
    substring meet in that table. Its width grows with the logarithm of the number of
    different vectors, so a bucket stays at some hundreds; the number of tables follows
@@ -41,18 +42,16 @@ SAMPLE = 20_000
 REACH, BUCKET, TILE = 0.9995, 128, 1024
 
 
-def rotations(sample: np.ndarray, count: int, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, count x d x d): orthogonal maps to balanced codes, each from another random start."""
-    rng, d = np.random.default_rng(seed), sample.shape[1]
-    mean = sample.mean(0) if len(sample) else np.zeros(d)
-    v, out = sample - mean, []
+def rotations(v: np.ndarray, count: int, rounds: int = 40, seed: int = 7) -> np.ndarray:
+    """count x d x d: orthogonal maps to binary codes, each from another random start."""
+    rng, d, out = np.random.default_rng(seed), v.shape[1], []
     for _ in range(count):
         r = np.linalg.qr(rng.standard_normal((d, d)))[0]
         for _ in range(rounds if len(v) else 0):
             u, _, w = np.linalg.svd(v.T @ np.sign(v @ r + 1e-300))
             r = u @ w
         out.append(r)
-    return mean, np.asarray(out).reshape(count, d, d)
+    return np.asarray(out).reshape(count, d, d)
 
 
 def layout(n: int, threshold: float) -> tuple[int, int]:
@@ -62,9 +61,8 @@ def layout(n: int, threshold: float) -> tuple[int, int]:
     return width, max(1, math.ceil(math.log(1 - REACH) / math.log(1 - meet)))
 
 
-def _keys(vectors: np.ndarray, mean: np.ndarray, maps: np.ndarray, width: int, tables: int) -> np.ndarray:
+def _keys(v: np.ndarray, maps: np.ndarray, width: int, tables: int) -> np.ndarray:
     """Substring of each vector in each table."""
-    v = vectors - mean
     bits = np.concatenate([v @ r >= 0 for r in maps], 1)[:, : width * tables]
     powers = 1 << np.arange(width, dtype="i8")
     return bits.reshape(len(v), tables, width).astype("i8") @ powers
@@ -124,15 +122,15 @@ def _links(classes: DataFrame, d: int, threshold: float) -> DataFrame:
     width, tables = layout(n, threshold)
     taken = classes.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).toPandas()["v"]
     sample = unit(pa.array(taken.tolist(), pa.list_(pa.float64())), d) if len(taken) else np.zeros((0, d))
-    held = spark.sparkContext.broadcast((*rotations(sample, math.ceil(width * tables / d)), width, tables))
+    held = spark.sparkContext.broadcast((rotations(sample, math.ceil(width * tables / d)), width, tables))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, maps, w, t = held.value
+        maps, w, t = held.value
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 some = batch.slice(k, 1000)
                 u = unit(some.column(2), d)
-                keys = _keys(u, mean, maps, w, t)
+                keys = _keys(u, maps, w, t)
                 at = np.repeat(np.arange(len(u)), t)
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(t), len(u))), pa.array(keys.reshape(-1)), some.column(0).take(pa.array(at)), some.column(1).take(pa.array(at)), pa.array([x.tobytes() for x in u]).take(pa.array(at))], ["t", "key", "rep", "m", "u"])
 
@@ -146,7 +144,7 @@ def _links(classes: DataFrame, d: int, threshold: float) -> DataFrame:
         t, _, i, j = key
         pdf = pdf.sort_values("rep")
         u = np.frombuffer(b"".join(pdf["u"]), "f8").reshape(-1, d)
-        mean, maps, w, tables_ = held.value
+        maps, w, tables_ = held.value
         reps, m, block = pdf["rep"].to_numpy(), pdf["m"].to_numpy(), pdf["block"].to_numpy()
         close = np.zeros((len(u), len(u)), bool)
         for lo in range(0, len(u), 512):  # cosines in double precision, row by row the same whatever else is in the tile
@@ -157,7 +155,7 @@ def _links(classes: DataFrame, d: int, threshold: float) -> DataFrame:
         a, b = np.nonzero(close)
         if len(a):
             exact = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
-            keys = _keys(u, mean, maps, w, tables_)[:, : int(t)]
+            keys = _keys(u, maps, w, tables_)[:, : int(t)]
             first = ~(keys[a] == keys[b]).any(1) if t else np.ones(len(a), bool)
             linked = exact
             counted = exact & first
