@@ -50,6 +50,8 @@ class TextEncoder:
             described = json.loads(self.model.to_str())
             self.specials = [x["content"] for x in described.get("added_tokens") or []]
             self.kind = _kind(described)
+        #: Ids are below this.
+        self.size = self.model.vocab_size() if self.kind == "pieces" else self.model.get_vocab_size(with_added_tokens=True)
         self.nothing = self.pack([])
         self.spaced, self.bare = _Pieces(self, " "), _Pieces(self, "")
         if self.kind == "dropped":

@@ -1,8 +1,9 @@
 """Length-delimited binary records of token ids, with an offset index for shuffled reads.
 
 A data file is a run of records. Fixed format of a record: payload length as
-little-endian uint64, masked checksum of those 8 bytes as uint32, the payload (ids as
-little-endian uint32), masked checksum of the payload as uint32. Checksums are CRC-32
+little-endian uint64, masked checksum of those 8 bytes as uint32, the payload (a byte that
+gives the width of an id, 2 or 4, then the ids in little-endian order; 2 wherever the
+vocabulary allows), masked checksum of the payload as uint32. Checksums are CRC-32
 (zlib), rotated right by 15 bits plus 0xa282ead8. An index file beside each data file
 holds int64 triples: document id, place of its record, length of its payload. Any record
 can be read by its triple alone; ``read`` uses whole files, ``read_at`` single triples.
@@ -54,6 +55,16 @@ def unframe(data, at: int = 0):
     return payload, at + 16 + n
 
 
+def packed(ids: bytes, width: int) -> bytes:
+    """The payload for ids given as little-endian uint32."""
+    return bytes([width]) + (ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
+
+
+def unpacked(payload) -> bytes:
+    """The ids of a payload as little-endian uint32."""
+    return bytes(payload[1:]) if payload[0] == 4 else np.frombuffer(payload, "<u2", offset=1).astype("<u4").tobytes()
+
+
 def write(docs: DataFrame, path: str, *, tokenizer: str, end_id: int | None = 1, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` and write files under ``path``, a folder that all executors reach. Returns the manifest: one row for each file, in order."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -63,6 +74,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, end_id: int | None = 1,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, enc = TaskContext.get(), encoder(tokenizer)
+        width = 2 if enc.size <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         fs, root = pafs.FileSystem.from_uri(path)
         name, own = f"part-{task.partitionId():06d}", f"-attempt{task.taskAttemptId()}"
         out, places, at, n_ids = None, [], 0, 0
@@ -73,11 +85,11 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, end_id: int | None = 1,
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}.bin{own}")
                 for doc_id, payload in zip(some.column(0).to_pylist(), enc.ids(some.column(1).to_pylist())):
-                    payload += tail
+                    payload = packed(payload + tail, width)
                     record = frame(payload)
                     out.write(record)
                     places.append((NO_ID if doc_id is None else doc_id, at, len(payload)))
-                    at, n_ids = at + len(record), n_ids + len(payload) // 4
+                    at, n_ids = at + len(record), n_ids + len(payload) // width
         if out is None:
             return
         out.close()
@@ -108,14 +120,16 @@ def read(spark: SparkSession, manifest: DataFrame, *, with_ids: bool = False) ->
                 start = row["first_token"]
                 with fs.open_input_stream(f"{at}.bin", buffer_size=1 << 20) as f:
                     for k in range(0, len(places), 1000):
-                        some, crcs, ids = places[k : k + 1000], [], []
-                        for _, _, n in some.tolist():
-                            payload, _ = unframe(f.read(n + 16))
-                            if len(payload) != n:
+                        some, crcs, ids, n = places[k : k + 1000], [], [], []
+                        for _, _, size in some.tolist():
+                            payload, _ = unframe(f.read(size + 16))
+                            if len(payload) != size:
                                 raise ValueError(f"{at}.idx disagrees with its data")
-                            crcs.append(zlib.crc32(payload))
-                            ids += [payload] * with_ids
-                        n = some[:, 2] // 4
+                            own = unpacked(payload)
+                            crcs.append(zlib.crc32(own))
+                            n.append(len(own) // 4)
+                            ids += [own] * with_ids
+                        n = np.asarray(n, "i8")
                         out = [pa.array(some[:, 0], mask=some[:, 0] == NO_ID), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crcs, pa.int64())]
                         start += int(n.sum())
                         yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.binary())] * with_ids, names)
@@ -126,8 +140,8 @@ def read(spark: SparkSession, manifest: DataFrame, *, with_ids: bool = False) ->
 
 
 def read_at(file: str, place: int, length: int) -> bytes:
-    """One record by its index entry."""
+    """The ids of one record, as little-endian uint32, by its index entry."""
     fs, at = pafs.FileSystem.from_uri(file)
     with fs.open_input_file(f"{at}.bin") as f:
         f.seek(place)
-        return unframe(f.read(length + 16))[0]
+        return unpacked(unframe(f.read(length + 16))[0])
