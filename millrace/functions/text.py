@@ -34,5 +34,11 @@ def tokens(c: Column, **options) -> Column:
 def ngrams(toks: Column, lo: int = 1, hi: int = 1) -> Column:
     """All runs of lo..hi tokens, the shorter ones first."""
     none = F.array().cast("array<string>")
-    runs = [toks if n == 1 else F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i, n=n: F.array_join(F.slice(toks, i, F.lit(n)), " "))).otherwise(none) for n in range(lo, hi + 1)]
-    return F.concat(*runs)
+
+    def runs(n: int) -> Column:
+        if n == 1:
+            return toks
+        made = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, F.lit(n)), " "))
+        return F.when(F.size(toks) >= n, made).otherwise(none)
+
+    return F.concat(*[runs(n) for n in range(lo, hi + 1)])

@@ -75,6 +75,8 @@ def block_sums(rows: DataFrame) -> DataFrame:
     pairs = a.crossJoin(_blocks(rows, "id", "v", ["label"], "f"))
     id_t, l_t = rows.schema["id"].dataType.simpleString(), rows.schema["label"].dataType.simpleString()
 
+    schema = to_arrow_schema(rows.select("id", "label", F.col("label").alias("other"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n")).schema)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pandas().to_dict("records"):
@@ -82,7 +84,7 @@ def block_sums(rows: DataFrame) -> DataFrame:
                 d = _distances(np.asarray([x["v"] for x in q], "f8"), np.asarray([x["v"] for x in f], "f8"), "euclidean")
                 other = pd.Series([x["label"] for x in f])
                 parts = [pd.DataFrame({"id": [x["id"] for x in q], "label": [x["label"] for x in q], "other": c, "total": d[:, ix].sum(1), "n": len(ix)}) for c, ix in other.groupby(other).groups.items()]
-                yield pa.RecordBatch.from_pandas(pd.concat(parts), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(pd.concat(parts), schema=schema, preserve_index=False)
 
     return pairs.select("q_rows", "f_rows").mapInArrow(add, f"id {id_t}, label {l_t}, other {l_t}, total double, n long").groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
@@ -92,6 +94,8 @@ def within(rows: DataFrame, radius: float, metric: str = "euclidean") -> DataFra
     pairs = _blocks(rows, "id", "v", [], "q").crossJoin(_blocks(rows, "id", "v", [], "f"))
     t = rows.schema["id"].dataType.simpleString()
 
+    schema = to_arrow_schema(rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("distance")).schema)
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -99,7 +103,7 @@ def within(rows: DataFrame, radius: float, metric: str = "euclidean") -> DataFra
                 d = _distances(np.asarray([x["v"] for x in q], "f8"), np.asarray([x["v"] for x in f], "f8"), metric)
                 qi, fi = np.asarray([x["id"] for x in q]), np.asarray([x["id"] for x in f])
                 a, b = np.nonzero((d <= radius) & (qi[:, None] != fi[None, :]))
-                yield pa.RecordBatch.from_pydict({"id": qi[a], "other": fi[b], "distance": d[a, b]})
+                yield pa.RecordBatch.from_pydict({"id": qi[a], "other": fi[b], "distance": d[a, b]}, schema=schema)
 
     return pairs.select("q_rows", "f_rows").mapInArrow(near, f"id {t}, other {t}, distance double")
 

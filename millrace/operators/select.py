@@ -21,8 +21,8 @@ def _survival(spark, kind: str, x: float, *dof: float) -> float:
 def chi2_df(df: DataFrame, features, label: str) -> DataFrame:
     """i, chi2: of class sums of each feature against those that class sizes lead to expect."""
     g = class_sums(df, features, label)
-    n = g.groupBy("i").agg(F.sum("n").alias("N"), F.sum("s").alias("S"))
-    e = F.col("n") / F.col("N") * F.col("S")
+    n = g.groupBy("i").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    e = F.col("n") / F.col("all_n") * F.col("all_s")
     return g.join(F.broadcast(n), "i").groupBy("i").agg(F.sum(F.coalesce(F.try_divide((F.col("s") - e) ** 2, e), F.lit(0.0))).alias("chi2"))
 
 
@@ -30,8 +30,8 @@ def f_classif_df(df: DataFrame, features, label: str) -> DataFrame:
     """i, f, dfb, dfw: one-way analysis of variance."""
     x = df.select(F.col(f"`{label}`").alias("label"), F.posexplode(vector(features)).alias("i", "x"))
     g = x.groupBy("i", "label").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
-    w = g.groupBy("i").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("M"))
-    r = g.join(F.broadcast(w), "i").groupBy("i").agg(F.sum(F.col("n") * (F.col("m") - F.col("M")) ** 2).alias("b"), F.sum(F.col("n") * F.col("v")).alias("w"), (F.count("*") - 1).alias("dfb"), (F.sum("n") - F.count("*")).alias("dfw"))
+    w = g.groupBy("i").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    r = g.join(F.broadcast(w), "i").groupBy("i").agg(F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("b"), F.sum(F.col("n") * F.col("v")).alias("w"), (F.count("*") - 1).alias("dfb"), (F.sum("n") - F.count("*")).alias("dfw"))
     return r.select("i", F.try_divide(F.col("b") / F.col("dfb"), F.col("w") / F.col("dfw")).alias("f"), "dfb", "dfw")
 
 

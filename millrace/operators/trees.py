@@ -175,7 +175,11 @@ class _Members(BaseEstimator):
 
 def _mean(arrays, weights):
     total = float(sum(weights))
-    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [F.transform(F.col(a), lambda x, w=w: x * (w / total)) for a, w in zip(arrays, weights)])
+
+    def share(name, w):
+        return F.transform(F.col(name), lambda x: x * (w / total))
+
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [share(a, w) for a, w in zip(arrays, weights)])
 
 
 def _average(names, weights):

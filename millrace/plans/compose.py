@@ -120,11 +120,14 @@ class FeatureUnion(BaseEstimator, TransformerMixin):
         parts = []
         for i, (n, t) in enumerate(self.fitted_):
             df = t.transform(df, f"u_{i}")
-            w = float((self.transformer_weights or {}).get(n, 1.0))
-            parts.append(F.transform(F.col(f"u_{i}"), lambda x, w=w: x * w))
+            parts.append(_times(f"u_{i}", float((self.transformer_weights or {}).get(n, 1.0))))
         return df.withColumn(out, F.concat(*parts)).drop(*[f"u_{i}" for i in range(len(parts))])
 
 
+def _times(column: str, w: float):
+    return F.transform(F.col(column), lambda x: x * w)
+
+
 def make_union(*transformers) -> FeatureUnion:
     return FeatureUnion(_named(transformers))
 
