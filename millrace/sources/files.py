@@ -38,11 +38,14 @@ def load_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def load_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A document or array of records, or a record a line: whichever gives rows that can be read."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    whole = reader.option("multiLine", not path.endswith(("jsonl", "ndjson"))).json(path)
-    if whole.columns == ["_corrupt_record"] or path.endswith(".json") and spark.read.text(path).limit(2).count() > 1 and all(r["value"].strip().startswith("{") and r["value"].strip().endswith("}") for r in spark.read.text(path).limit(2).collect()):
-        return reader.json(path)
-    return whole
+    def reader():
+        return spark.read.schema(schema) if schema else spark.read
+
+    head = [r["value"].strip() for r in spark.read.text(path).limit(2).collect()]
+    if path.endswith(("jsonl", "ndjson")) or len(head) > 1 and all(x.startswith("{") and x.endswith("}") for x in head):
+        return reader().json(path)
+    whole = reader().option("multiLine", True).json(path)
+    return reader().json(path) if whole.columns == ["_corrupt_record"] else whole
 
 
 def load_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:

@@ -216,7 +216,7 @@ def test_clusters(spark):
         assert metrics.adjusted_rand_score(m.fit_predict(df, f, "id"), "label", "cluster") > 0.9, m
     g = cluster.GaussianMixture(3).fit(df, f)
     assert metrics.adjusted_rand_score(g.predict(df), "label", "cluster") > 0.9 and g.bic(df) > g.aic(df) and g.sample(5)[0].shape == (5, 2)
-    assert len(cluster.MeanShift(2.0).fit(df, f).cluster_centers_) == 3
+    assert len(cluster.MeanShift(1.0).fit(df, f).cluster_centers_) == 3
     assert cluster.MiniBatchKMeans(3, max_iter=10).fit(df, f).predict(df).where("cluster between 0 and 2").count() == 90
     assert metrics.silhouette_score(df, f, "label", "id") > 0.7 and metrics.davies_bouldin_score(df, f, "label") < 0.5 and metrics.calinski_harabasz_score(df, f, "label") > 100
 
