@@ -8,12 +8,14 @@
    weighted sampling draws ``bands x rows`` samples of each text; the chance that two
    texts agree in one is their weighted Jaccard similarity.
 3. Texts of equal words are one class. Classes that agree in a whole band are
-   candidates: first each with one hub of its band, then, hub by hub, those that are not
-   yet in the hub's component, last all pairs of different components that share a band
-   (bands of many classes are divided by a second band first). Candidates whose weights
-   or samples rule the threshold out are dropped; the rest are verified by the exact
-   weighted Jaccard similarity of their whole texts. Pairs within a component need no
-   test, so a group of m copies costs about m tests.
+   candidates: first each with one hub of its band (the class that meets most others in
+   all its bands, so the original of a group rather than one of its copies), then with
+   another hub those that are not yet in its component, last all of different components
+   that share a band. Candidates whose weights or samples rule the threshold out are
+   dropped; the rest are verified by the exact weighted Jaccard similarity of their whole
+   texts. Pairs within a component need no test, so a group of m copies costs about m
+   tests. Bands of many classes end in tiles of bounded size, compared as matrices, which
+   return links between components and never pairs.
 4. Connected components of verified links are the groups.
 
 Words are runs of letters and digits in lower case. A text of fewer than five words is
@@ -26,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -37,8 +40,8 @@ from .graph import components
 WORDS, BANDS, ROWS = 5, 12, 4
 #: Cells of the table of document frequencies, as a power of two.
 CELL_BITS = 18
-#: Classes in a band from which on a second band divides it.
-CROWD = 48
+#: Classes in a band beyond which they are compared in tiles, and classes in a tile's side.
+CROWD, TILE = 16, 128
 #: Least share of equal samples; two texts at the threshold fall below it once in millions.
 LEAST_EQUAL = 0.5
 CHUNK = 1 << 20
@@ -235,10 +238,71 @@ def signatures(rows: DataFrame, idf: np.ndarray, bands: int = BANDS, per_band: i
     return rows.mapInArrow(run, "id long, th long, d1 long, d2 long, weight double, sig array<int>")
 
 
-def _band_keys(sig: Column, bands: int, per_band: int, first: Column | None = None) -> Column:
+def _band_keys(sig: Column, bands: int, per_band: int) -> Column:
     """A key for each band."""
-    lead = [] if first is None else [first]
-    return F.array(*[F.xxhash64(*lead, F.lit(j), F.slice(sig, j * per_band + 1, per_band)) for j in range(bands)])
+    return F.array(*[F.xxhash64(F.lit(j), F.slice(sig, j * per_band + 1, per_band)) for j in range(bands)])
+
+
+def similarities(codes: np.ndarray, weights: np.ndarray, begins: np.ndarray, columns: int = 2048) -> np.ndarray:
+    """Weighted Jaccard similarity of all texts of a tile. The lesser of two weights of a shingle is the sum of the steps that both reach, so sums of lesser weights are a matrix product."""
+    n = len(begins) - 1
+    of = np.repeat(np.arange(n), np.diff(begins))
+    total = np.bincount(of, weights, n)
+    order = np.lexsort((weights, codes))
+    c, w, of = codes[order], weights[order], of[order]
+    again = np.append(False, c[1:] == c[:-1])
+    shared = again | np.append(again[1:], False)  # a shingle of one text alone adds nothing
+    c, w, of, again = c[shared], w[shared], of[shared], again[shared]
+    common = np.zeros((n, n))
+    if len(c):
+        higher = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))
+        level = np.cumsum(higher) - 1
+        at = np.flatnonzero(higher)
+        first = ~again[at]
+        step = w[at] - np.where(first, 0, np.append(0, w[at][:-1]))
+        low = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))  # lowest level of the same shingle
+        spans = level - low[level] + 1
+        rows = np.repeat(of, spans)
+        cols = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(low[level], spans)
+        for lo in range(0, len(at), columns):
+            mine = (cols >= lo) & (cols < lo + columns)
+            m = np.zeros((n, min(columns, len(at) - lo)))
+            m[rows[mine], cols[mine] - lo] = 1
+            common += (m * step[lo : lo + columns]) @ m.T
+    whole = total[:, None] + total - common
+    return np.divide(common, whole, out=np.zeros_like(common), where=whole > 0)
+
+
+def _tiled(left: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) between components within bands, of (key, id, root): enough to join all that are linked. Blocks of the largest component of a band don't meet each other."""
+    held = left.sparkSession.sparkContext.broadcast(idf)
+    size = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all")).select("key", F.col("m.root").alias("main"), F.ceil(F.col("m.n") / TILE).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("m.n")) / TILE).cast("int").alias("others"))
+    own = F.xxhash64("id")
+    placed = left.join(size, "key").withColumn("block", F.when(F.col("root") == F.col("main"), F.col("others") + F.pmod(own, F.col("mains"))).otherwise(F.pmod(own, F.col("others"))).cast("int"))
+    meets = F.when(F.col("root") == F.col("main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    tiles = placed.withColumn("other", F.explode(meets)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root").join(texts, "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id")
+        sims = similarities(*shingles(*words(pa.array(pdf["text"], pa.string())), held.value))
+        ids, roots = pdf["id"].to_numpy(), pdf["root"].to_numpy()
+        a, b = np.nonzero(np.triu((sims >= threshold) & (roots[:, None] != roots[None, :])))
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        kept = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = find(int(roots[x])), find(int(roots[y]))
+            if p != q:
+                up[p] = q
+                kept.append((int(ids[x]), int(ids[y])))
+        return pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
+
+    return tiles.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -275,8 +339,10 @@ def groups(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, per_b
     classes = stored(classes, "classes")
     reps = classes.groupBy("id").agg(F.min(F.struct("th", "weight", "sig")).alias("r")).select("id", "r.*")
     keyed = reps.select("id", F.explode(_band_keys(F.col("sig"), bands, per_band)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     crowded = stored(keyed.join(shared, "key"), "bands")
+    meets = crowded.groupBy("id").agg(F.sum("n").alias("meets"))
+    hubs = crowded.join(meets, "id").groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
     wanted = crowded.select("id").distinct().join(reps, "id")
     texts = stored(rows.join(wanted.select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "candidates")
     close = wanted.select("id", "weight", "sig")
@@ -288,29 +354,27 @@ def groups(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, per_b
         equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         return two.where((F.least("wa", "wb") >= threshold * 0.999999 * F.greatest("wa", "wb")) & (equal >= LEAST_EQUAL * bands * per_band)).select("a", "b")
 
-    links = stored(_verified(likely(crowded.select(F.col("id").alias("a"), F.col("hub").alias("b"))), texts, idf, threshold).select("a", "b"), "links")
-    tested_last = False
-    for step in range(3):
+    links = stored(_verified(likely(crowded.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))), texts, idf, threshold).select("a", "b"), "links")
+    for step in range(2):
         labels = components(links)
         open_bands = crowded.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        split = open_bands.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-        left = open_bands.join(split, "key")
-        if step < 2:  # another hub for each band
+        split = open_bands.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")).where("lo <> hi")
+        split = split.groupBy("s1", "s2", "n").agg(F.min("key").alias("key"))  # bands of the same classes are one
+        left = stored(open_bands.join(split.select("key", "n"), "key"), "open-bands")
+        if step == 0:  # another hub for each band
             hubs = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("x")).select("key", "x.hub", "x.hub_root")
             pairs = left.join(hubs, "key").where("root <> hub_root").select(F.col("id").alias("a"), F.col("hub").alias("b"))
         else:
             few = left.where(F.col("n") <= CROWD).select("key", "id", "root")
-            many = left.where(F.col("n") > CROWD).join(close.select("id", "sig"), "id").select(F.explode(_band_keys(F.col("sig"), bands, per_band, F.col("key"))).alias("key"), "id", "root")
-            sides = few.union(many)
-            other = sides.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
-            pairs = sides.join(other, "key").where("id < id2 and root <> root2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-            tested_last = True
-        links_more = stored(_verified(likely(pairs), texts, idf, threshold).select("a", "b"), "links")
-        found = not links_more.isEmpty()
+            other = few.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
+            pairs = few.join(other, "key").where("id < id2 and root <> root2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        more = _verified(likely(pairs), texts, idf, threshold).select("a", "b")
+        if step:
+            more = more.union(_tiled(left.where(F.col("n") > CROWD).select("key", "id", "root"), texts, idf, threshold))
+        more = stored(more, "links")
+        found = not more.isEmpty()
         if found:
-            links = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(links_more)
-        if tested_last:
-            break
+            links = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more)
     labels = components(links) if found else labels
     member = signed.select("id", "th", "d1", "d2").join(classes.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"])
     return member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "th", F.coalesce("root", "rep").alias("class_id"))

@@ -72,7 +72,10 @@ def made_texts():
     return texts
 
 
-def test_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize("crowd", [16, 2])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_dup, "CROWD", crowd)
+    monkeypatch.setattr(near_dup, "TILE", 8 * crowd)
     texts = made_texts()
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, texts[5], "c"), (5, texts[5], "c")], "doc_id long, text string, class_id string")
     sim, bags = similarity([t for t in texts] + [texts[5], texts[5]])
@@ -99,6 +102,19 @@ def test_samples_estimate_similarity():
     assert abs((got[0] == got[1]).mean() - near_dup.weighted_jaccard((a, wa), (b, wb))) < 0.08
 
 
+def test_tile_equals_pairs():
+    rng = np.random.default_rng(3)
+    bags = []
+    for _ in range(40):
+        codes = np.sort(rng.choice(60, rng.integers(0, 50), replace=False)).astype("u8")
+        bags.append((codes, (1 + codes % 7) * rng.integers(1, 4, len(codes)) * 1.0))
+    begins = np.cumsum([0, *[len(c) for c, _ in bags]])
+    got = near_dup.similarities(np.concatenate([c for c, _ in bags]), np.concatenate([w for _, w in bags]), begins, columns=7)
+    want = [[near_dup.weighted_jaccard(x, y) for y in bags] for x in bags]
+    off = ~np.eye(40, dtype=bool)
+    assert np.allclose(got[off], np.asarray(want)[off])
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(None, 1), (7, 7), (3, 2), (900, 900)]
