@@ -45,6 +45,8 @@ TOKEN_DIGITS = 7
 LEAST_KNOWN, SURE, ROUNDS = 3, 0.8, 3
 #: Code points before a token in which its pattern is looked for.
 REACH = 80
+#: Discovered spans up to which they are broadcast; beyond it both sides are shuffled.
+BROADCAST_SPANS = 100_000
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -111,8 +113,9 @@ def with_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     both = looked.withColumn("tokens", tokens).select("id", "th", "text", F.explode(F.concat("base", F.filter("tokens", lambda t: free(t, F.col("base"))))).alias("x"))
     places = both.select("id", "th", "x", F.lower(F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start"))).alias("token"), _pattern(F.col("text"), F.col("x.start")).alias("pattern")).where("pattern is not null")
     places = stored(places.select("id", "th", "x", F.xxhash64("token").alias("token"), F.xxhash64("pattern").alias("pattern"), (F.col("x.rank") < len(BASE)).alias("seed")), "places")
-    more = _discovered(places).groupBy("id", "th").agg(F.collect_set("x").alias("more"))
-    #: Rows without discovered spans need no partner; the rest meet theirs by id and text.
+    more = stored(_discovered(places).groupBy("id", "th").agg(F.collect_set("x").alias("more")), "discovered")
+    if more.agg(F.coalesce(F.sum(F.size("more")), F.lit(0))).first()[0] <= BROADCAST_SPANS:  # few texts have such spans: then the texts needn't move to meet them
+        more = F.broadcast(more)
     out = docs.withColumn(base, found).join(more, F.col(f"`{id_col}`").eqNullSafe(more["id"]) & (F.xxhash64(text) == more["th"]), "left")
     every = F.array_sort(F.concat(F.col(base), F.coalesce("more", F.array().cast(SPAN))))
     return out.withColumn(spans, every).select(*[F.col(f"`{c}`") for c in docs.columns], base, spans)
