@@ -73,10 +73,11 @@ def survivors(q: np.ndarray, q_len: float, floor: float, c: np.ndarray, lens: np
     keep = np.ones(n, bool)
     size = np.maximum(lens[:n], 1e-300)
     t = np.minimum(floor / (q_len * size) * (1 - SLACK), 1.0)
-    for f in np.argsort(-np.abs(q))[:FOCUS]:  # a unit vector within angle t of q has coordinate f in this interval
+    for f in np.argsort(-np.abs(q))[:FOCUS]:  # a unit vector within angle t of q has coordinate f between these; the cap holds the axis itself where own >= t, its opposite where own <= -t
         own = q[f] / q_len
         reach = np.sqrt(np.maximum(1 - t * t, 0) * max(1 - own * own, 0.0)) + 1e-7
-        keep &= np.abs(c[:n, f] / size - own * t) <= reach
+        share = c[:n, f] / size
+        keep &= ((share <= own * t + reach) | (own >= t)) & ((share >= own * t - reach) | (own <= -t))
     return np.flatnonzero(keep)
 
 

@@ -200,3 +200,29 @@ def test_top_k_against_all_products(spark, spread, monkeypatch):
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert got == sorted(want)
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 64])
+def test_survivors_hold_all_that_reach_the_floor(d):
+    rng = np.random.default_rng(d)
+    x = rng.standard_normal((2000, d))
+    x[:, 0] = rng.choice([-1, 1], 2000) * (1 + rng.random(2000)) * np.linalg.norm(x, axis=1)
+    x = np.floor(64 * x)
+    lens = np.linalg.norm(x, axis=1)
+    order = np.argsort(-lens)
+    x, lens = x[order], lens[order]
+    for i in range(0, 2000, 40):
+        scores = np.delete(x @ x[i], i)
+        floor = np.sort(scores)[-20]
+        want = np.flatnonzero(x @ x[i] >= floor)
+        assert set(want) <= set(topk.survivors(x[i], lens[i], floor, x, lens))
+
+
+def test_top_k_with_one_dominant_coordinate(spark):
+    x = [[1.0, 0.0], [0.99, 0.1], *[[0.8, 0.59]] * 3, [1.0, 0.02], [-1.0, 0.0], [-1.0, 0.05], *[[-0.8, 0.59]] * 3]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    v = np.floor(64 * np.asarray(x)).astype("i8")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, df, k=3).collect()}
+    for q in range(len(x)):
+        best = sorted((-int(v[q] @ v[i]), i) for i in range(len(x)) if i != q)[:3]
+        assert [got[q, n + 1] for n in range(3)] == [(i, -s) for s, i in best]
