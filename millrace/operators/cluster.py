@@ -179,38 +179,47 @@ class AgglomerativeClustering(BaseEstimator, ClusterMixin):
 
 
 class MeanShift(BaseEstimator, ClusterMixin):
-    """Seeds (a bounded sample) climb to the modes of a Gaussian density over all rows; modes nearer than the bandwidth are one."""
+    """Every row climbs to a mode of a Gaussian density over all rows; modes nearer than the bandwidth are one. A round weighs rows x rows, in blocks; the driver holds the climbing rows. Only where ``max_seeds`` is given does a sample of so many rows climb instead."""
 
-    def __init__(self, bandwidth=1.0, max_iter=50, max_seeds=200, seed=0):
+    def __init__(self, bandwidth=1.0, max_iter=50, max_seeds=None, seed=0):
         self.bandwidth, self.max_iter, self.max_seeds, self.seed = bandwidth, max_iter, max_seeds, seed
 
     def fit(self, df: DataFrame, features) -> "MeanShift":
         data = df.select(vector(features).alias("v")).cache()
-        seeds = matrix(data.orderBy(F.xxhash64("v", F.lit(self.seed))).limit(self.max_seeds).toPandas()["v"])
+        order = F.xxhash64("v", F.lit(self.seed))
+        starts = data.distinct().orderBy(order) if self.max_seeds is None else data.orderBy(order).limit(self.max_seeds)  # equal rows climb alike
+        seeds = matrix(starts.toPandas()["v"])
         h = 2 * self.bandwidth**2
         for _ in range(self.max_iter):
             at = seeds
-            sums = data.mapInPandas(lambda it, at=at: (_shift(matrix(b["v"]), at, h) for b in it if len(b)), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas().sort_values("cell")["x"].to_numpy().reshape(len(seeds), -1)
+            sums = data.mapInPandas(lambda it, at=at: _shift((matrix(b["v"]) for b in it if len(b)), at, h), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas().sort_values("cell")["x"].to_numpy().reshape(len(seeds), -1)
             seeds = sums[:, :-1] / np.maximum(sums[:, -1:], 1e-300)
             if np.abs(seeds - at).max() < 1e-4 * self.bandwidth:
                 break
         data.unpersist()
         modes: list[np.ndarray] = []
-        for s in seeds:
-            if all(np.linalg.norm(s - m) > self.bandwidth for m in modes):
-                modes.append(s)
+        while len(seeds):
+            modes.append(seeds[0])
+            seeds = seeds[np.linalg.norm(seeds - seeds[0], axis=1) > self.bandwidth]
         self.features_, self.cluster_centers_ = features, np.asarray(modes)
         return self
 
     predict = KMeans.predict
 
 
-def _shift(x, at, h):
+def _shift(blocks, at, h, most=512):
+    """Weighted sums of a task's rows around each place of ``at``, ``most`` places at a time."""
     import pandas as pd
 
-    w = np.exp(-squared(at, x) / h)
-    out = np.concatenate([w @ x, w.sum(1, keepdims=True)], 1).ravel()
-    return pd.DataFrame({"cell": np.arange(len(out)), "x": out})
+    d = at.shape[1] + 1
+    sums = np.zeros((len(at), d))
+    for x in blocks:
+        for lo in range(0, len(at), most):
+            w = np.exp(-squared(at[lo : lo + most], x) / h)
+            sums[lo : lo + most] += np.concatenate([w @ x, w.sum(1, keepdims=True)], 1)
+    for lo in range(0, len(at), most):
+        out = sums[lo : lo + most].ravel()
+        yield pd.DataFrame({"cell": lo * d + np.arange(len(out)), "x": out})
 
 
 def bounded(df: DataFrame, features, id_col: str, most: int) -> tuple[list, np.ndarray]:

@@ -221,6 +221,15 @@ def test_clusters(spark):
     assert metrics.silhouette_score(df, f, "label", "id") > 0.7 and metrics.davies_bouldin_score(df, f, "label") < 0.5 and metrics.calinski_harabasz_score(df, f, "label") > 100
 
 
+def test_mean_shift_climbs_from_every_row(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 0.3, (700, 2)), [[20.0, 20.0], [-20.0, 20.0], [20.0, -20.0], [-20.0, -20.0]]])
+    df = spark.createDataFrame(x.tolist(), "x0 double, x1 double").repartition(3)
+    found = cluster.MeanShift(1.0).fit(df, ["x0", "x1"]).cluster_centers_
+    assert len(found) == 5 and all(np.linalg.norm(found - m, axis=1).min() < 1e-6 for m in x[700:])
+    assert len(cluster.MeanShift(1.0, max_seeds=1).fit(df, ["x0", "x1"]).cluster_centers_) == 1
+
+
 def test_projections(reg, spark):
     df, x, _ = reg
     p = decompose.PCA(2).fit(df, X)
