@@ -241,14 +241,18 @@ class Nystroem(_Map):
 
 
 class KernelPCA(_Map):
-    """Eigenvectors of the centred kernel of a bounded sample; any row is projected on them."""
+    """Eigenvectors of the centred kernel of all rows; any row is projected on them. Needs the whole kernel, so more than ``most`` rows are refused; only where ``max_rows`` is given does a sample of so many rows stand for them."""
 
-    def __init__(self, n_components=2, kernel="rbf", gamma=None, degree=3, coef0=1.0, max_rows=2000, seed=0):
+    most = 3000
+
+    def __init__(self, n_components=2, kernel="rbf", gamma=None, degree=3, coef0=1.0, max_rows=None, seed=0):
         self.n_components, self.kernel, self.gamma, self.degree, self.coef0, self.max_rows, self.seed = n_components, kernel, gamma, degree, coef0, max_rows, seed
 
     def fit(self, df, features):
         self.features_ = features
-        x = matrix(df.select(vector(features).alias("v")).orderBy(F.xxhash64("v", F.lit(self.seed))).limit(self.max_rows).toPandas()["v"])
+        x = matrix(df.select(vector(features).alias("v")).orderBy(F.xxhash64("v", F.lit(self.seed))).limit(self.max_rows or self.most + 1).toPandas()["v"])
+        if self.max_rows is None and len(x) > self.most:
+            raise ValueError(f"more than {self.most} rows; this method holds a matrix of rows x rows (max_rows draws a sample)")
         self.base_, self.gamma_ = x, self.gamma or 1 / x.shape[1]
         k = self._k(x)
         self.row_, self.all_ = k.mean(0), k.mean()

@@ -230,6 +230,15 @@ def test_mean_shift_climbs_from_every_row(spark):
     assert len(cluster.MeanShift(1.0, max_seeds=1).fit(df, ["x0", "x1"]).cluster_centers_) == 1
 
 
+def test_kernel_pca_takes_all_rows_or_refuses(spark):
+    x = np.random.default_rng(2).standard_normal((2100, 3))
+    df = spark.createDataFrame(x.tolist(), "x0 double, x1 double, x2 double")
+    p = decompose.KernelPCA(2, kernel="linear").fit(df, ["x0", "x1", "x2"])
+    assert np.allclose(p.values_, np.linalg.svd(x - x.mean(0))[1][:2] ** 2)
+    with pytest.raises(ValueError):
+        decompose.KernelPCA(2).fit(df.union(df), ["x0", "x1", "x2"])
+
+
 def test_projections(reg, spark):
     df, x, _ = reg
     p = decompose.PCA(2).fit(df, X)
