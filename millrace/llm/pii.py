@@ -43,6 +43,8 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 TOKEN_DIGITS = 7
 #: A pattern counts with so many different known tokens and such a share of known ones; a token from such a score on.
 LEAST_KNOWN, SURE, ROUNDS = 3, 0.8, 3
+#: What any text with such a token has: so many digits without a blank between them, or the sign.
+TOKEN_NEEDS = [rf"[0-9](?:[^\s0-9]*+[0-9]){{{TOKEN_DIGITS - 1}}}", "@"]
 #: Code points before a token in which its pattern is looked for.
 REACH = 80
 #: Discovered spans up to which they are broadcast; beyond it both sides are shuffled.
@@ -105,7 +107,7 @@ def with_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = F.array_sort(F.concat(*[base_spans(text, k) for k in BASE]))
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    rows = keyed.where(" or ".join(f"text rlike r'{x}'" for x in [*NEEDS.values(), "[0-9]{4}", "@"])).select("id", F.xxhash64("text").alias("th"), "text")
+    rows = keyed.where(" or ".join(f"text rlike r'{x}'" for x in [*NEEDS.values(), *TOKEN_NEEDS])).select("id", F.xxhash64("text").alias("th"), "text")
     looked = rows.select("id", "th", "text", F.array_sort(F.concat(*[base_spans(F.col("text"), k) for k in BASE])).alias("base"))
     tokens = F.filter(_found(F.col("text"), TOKEN), lambda x: x["m"].rlike(r"\S@\S") | (F.char_length(F.regexp_replace(x["m"], "[^0-9]", "")) >= TOKEN_DIGITS))
     tokens = F.transform(tokens, lambda x: F.struct(x["s"].alias("start"), F.lit(KINDS.index("context")).alias("rank"), (x["s"] + F.char_length(x["m"])).alias("end")))

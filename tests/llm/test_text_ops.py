@@ -174,6 +174,18 @@ def test_pii_context_discovers(spark):
     assert clean[10] == texts[10].replace("0743/5553824", "[CONTEXT]") and clean[0] == seeds[0].replace("+1 (743) 555-3800", "[PHONE]") and clean[12] is None and clean[11] == texts[11]
 
 
+def test_pii_context_finds_digits_in_short_groups(spark):
+    seeds = [f"please write to me under my number +1 (743) 555-38{i:02d} soon" for i in range(40)]
+    tokens = ["123-456-789", "06-12-34-56-78", "AB12-34-567", "AB12-34-56"]
+    texts = seeds + [f"please write to me under my number {t} soon" for t in tokens]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs.repartition(3)).collect()}
+    at = texts[40].index("123")
+    assert [got[40 + i] for i in range(4)] == [f"context:{at}:{at + len(t)}" for t in tokens[:3]] + [""]
+    clean = {r["doc_id"]: r["text"] for r in pii.masked(docs).collect()}
+    assert [clean[40 + i] for i in range(3)] == ["please write to me under my number [CONTEXT] soon"] * 3 and clean[43] == texts[43]
+
+
 def conversations(spark, sf):
     rng = random.Random(1)
     bits = ["\\", "#", "###", "</turn>", "<turn/>", "\\h", "\\e", "\n", ": ", "a", "é", "\\\\", "### user: ", "\\c", "\\t"]
