@@ -44,6 +44,8 @@ CELL_BITS = 18
 CROWD, TILE = 16, 128
 #: Least share of equal samples; two texts at the threshold fall below it once in millions.
 LEAST_EQUAL = 0.5
+#: A class is told by the least (id, th) of its rows: an id that repeats with other texts stands for a class by each.
+NODE = "struct<id:long,th:long>"
 CHUNK = 1 << 20
 
 IS_WORD = np.zeros(256, bool)
@@ -274,18 +276,20 @@ def similarities(codes: np.ndarray, weights: np.ndarray, begins: np.ndarray, col
 
 
 def _tiled(left: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Links (a, b) between components within bands, of (key, id, root): enough to join all that are linked. Blocks of the largest component of a band don't meet each other."""
+    """Links (a, b) between components within bands, of (key, id, root), whose id and root are classes: enough to join all that are linked. Blocks of the largest component of a band don't meet each other."""
     held = left.sparkSession.sparkContext.broadcast(idf)
     size = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all")).select("key", F.col("m.root").alias("main"), F.ceil(F.col("m.n") / TILE).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("m.n")) / TILE).cast("int").alias("others"))
     own = F.xxhash64("id")
     placed = left.join(size, "key").withColumn("block", F.when(F.col("root") == F.col("main"), F.col("others") + F.pmod(own, F.col("mains"))).otherwise(F.pmod(own, F.col("others"))).cast("int"))
     meets = F.when(F.col("root") == F.col("main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
     tiles = placed.withColumn("other", F.explode(meets)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root").join(texts, "id")
+    tiles = tiles.select("key", "i", "j", "id.id", "id.th", F.col("root.id").alias("root_id"), F.col("root.th").alias("root_th"), "text")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
+        pdf = pdf.drop_duplicates(["id", "th"])
         sims = similarities(*shingles(*words(pa.array(pdf["text"], pa.string())), held.value))
-        ids, roots = pdf["id"].to_numpy(), pdf["root"].to_numpy()
+        ids = list(zip(pdf["id"].tolist(), pdf["th"].tolist()))
+        roots = pdf.groupby(["root_id", "root_th"]).ngroup().to_numpy()
         a, b = np.nonzero(np.triu((sims >= threshold) & (roots[:, None] != roots[None, :])))
         up: dict[int, int] = {}
 
@@ -299,10 +303,11 @@ def _tiled(left: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float)
             p, q = find(int(roots[x])), find(int(roots[y]))
             if p != q:
                 up[p] = q
-                kept.append((int(ids[x]), int(ids[y])))
-        return pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
+                kept.append(ids[x] + ids[y])
+        return pd.DataFrame(kept, columns=["a", "ta", "b", "tb"]).astype("int64")
 
-    return tiles.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    found = tiles.groupBy("key", "i", "j").applyInPandas(compare, "a long, ta long, b long, tb long")
+    return found.select(F.struct(F.col("a").alias("id"), F.col("ta").alias("th")).alias("a"), F.struct(F.col("b").alias("id"), F.col("tb").alias("th")).alias("b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -324,7 +329,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
                 good = pa.array(np.flatnonzero(sims >= threshold))
                 yield pa.RecordBatch.from_arrays([some.column(0).take(good), some.column(1).take(good), pa.array(sims).take(good)], ["a", "b", "similarity"])
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.mapInArrow(run, f"a {NODE}, b {NODE}, similarity double")
 
 
 def groups(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, per_band: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,24 +338,21 @@ def groups(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, per_b
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).where("id is not null and text is not null")
     idf = word_idf(rows)
     signed = stored(signatures(rows, idf, bands, per_band), "signatures")
-    least = F.min(F.struct("id", "th")).alias("r")
-    classes = signed.groupBy("d1", "d2").agg(least, F.first("weight").alias("weight"), F.first("sig").alias("sig")).select("d1", "d2", F.col("r.id").alias("id"), F.col("r.th").alias("th"), "weight", "sig")
-    #: An id that repeats with other texts represents one class; the others are represented with it, as links between its texts' classes.
-    classes = stored(classes, "classes")
-    reps = classes.groupBy("id").agg(F.min(F.struct("th", "weight", "sig")).alias("r")).select("id", "r.*")
+    node = F.struct("id", "th")
+    classes = stored(signed.groupBy("d1", "d2").agg(F.min(node).alias("rep"), F.first("weight").alias("weight"), F.first("sig").alias("sig")), "classes")
+    reps = classes.select(F.col("rep").alias("id"), "weight", "sig")
     keyed = reps.select("id", F.explode(_band_keys(F.col("sig"), bands, per_band)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     crowded = stored(keyed.join(shared, "key"), "bands")
     meets = crowded.groupBy("id").agg(F.sum("n").alias("meets"))
-    hubs = crowded.join(meets, "id").groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
+    hubs = crowded.join(meets, "id").groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("minus"), "id")).alias("h")).select("key", F.col("h.id").alias("hub"))
     wanted = crowded.select("id").distinct().join(reps, "id")
-    texts = stored(rows.join(wanted.select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "candidates")
-    close = wanted.select("id", "weight", "sig")
+    texts = stored(rows.select(node.alias("id"), "text").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "candidates")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs that neither their total weights nor their samples rule out."""
         two = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        two = two.join(close.select(F.col("id").alias("a"), F.col("weight").alias("wa"), F.col("sig").alias("sa")), "a").join(close.select(F.col("id").alias("b"), F.col("weight").alias("wb"), F.col("sig").alias("sb")), "b")
+        two = two.join(wanted.select(F.col("id").alias("a"), F.col("weight").alias("wa"), F.col("sig").alias("sa")), "a").join(wanted.select(F.col("id").alias("b"), F.col("weight").alias("wb"), F.col("sig").alias("sb")), "b")
         equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         return two.where((F.least("wa", "wb") >= threshold * 0.999999 * F.greatest("wa", "wb")) & (equal >= LEAST_EQUAL * bands * per_band)).select("a", "b")
 
@@ -376,8 +378,8 @@ def groups(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, per_b
         if found:
             links = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more)
     labels = components(links) if found else labels
-    member = signed.select("id", "th", "d1", "d2").join(classes.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"])
-    return member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "th", F.coalesce("root", "rep").alias("class_id"))
+    member = signed.select("id", "th", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+    return member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "th", F.coalesce("root", "rep")["id"].alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

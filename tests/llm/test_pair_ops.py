@@ -91,6 +91,23 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, crowd):
     assert near_dup.near_duplicates(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [16, 2])
+def test_an_id_with_different_texts_stands_for_each(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_dup, "CROWD", crowd)
+    monkeypatch.setattr(near_dup, "TILE", 8 * crowd)
+    rng = random.Random(5)
+    texts = [[f"{c}{rng.randrange(10**6)}" for _ in range(80)] for c in "abc"]
+    a, b, c = (" ".join(t) for t in texts)
+    near = [[" ".join([*t[:k], "other", *t[k + 1 :]]) for k in (0, 79)] for t in texts]
+    rows = [(2, near[0][0]), (5, a), (5, b), (8, b), (9, near[1][0]), (11, near[1][1]), (5, c), (12, near[2][0]), (13, near[2][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["id"], r["th"], r["class_id"]) for r in near_dup.groups(docs).collect())
+    of = [2, 2, 5, 5, 5, 5, 5, 5, 5]
+    th = [r[0] for r in docs.selectExpr("xxhash64(text)").collect()]
+    assert got == sorted((i, h, g) for (i, _), h, g in zip(rows, th, of))
+    assert sorted(near_dup.one_of_each(docs).collect()) == sorted([(2, near[0][0]), (5, b), (5, c)])
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     sampler = near_dup.Sampler(400)
