@@ -8,36 +8,82 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts of a table that a key may hold before its rows are spread: keys with more than 1/HEAVY of the rows, so at most HEAVY of them.
+HEAVY = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may do without: there it is a folder of its own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing else uses; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
+    fs.mkdirs(at.getParent())
+    fs.deleteOnExit(at)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).stored(df, name)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that only intermediate steps have read."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+class Scratch:
+    """Tables of one operator's call; ``drop`` deletes them once what is left of them is stored elsewhere."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        for key, (_, path) in list(self.paths.items()):
+            if all(key != id(k) for k in keep):
+                remove(self.spark, path)
+                del self.paths[key]
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and in ``rows`` how many rows of ``left`` have it.
+
+    Keys with more than 1/HEAVY of the ``total`` rows are at most HEAVY: their rows stay where they
+    are and meet a broadcast of so many rows. All others are shuffled; none of them is hot.
+    ``how`` is inner or left; ``right`` must be stored, since it is read twice. Null keys join nothing.
+    """
+    is_heavy = F.col(rows) > max(total // HEAVY, 1)
+    heavy = right.where(is_heavy).drop(rows)
+    mark = free_name(left, "is_heavy")
+    marked = left.join(F.broadcast(heavy.select(*on, F.lit(True).alias(mark))), on, "left")
+    hot = marked.where(F.col(mark)).drop(mark).join(F.broadcast(heavy), on, "inner")
+    rest = marked.where(F.col(mark).isNull()).drop(mark).join(right.where(~is_heavy).drop(rows), on, how)
+    return hot.unionByName(rest)
 
 
 def own_columns(df: DataFrame, *names: str, prefix: str = "x_") -> DataFrame:

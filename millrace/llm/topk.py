@@ -12,12 +12,16 @@ pruning). What is left is multiplied out in exact integers; ties go to the small
 Components are floor(64 x). A query's own row (equal id) is no candidate of it. Vectors
 that are null or hold null or non-finite components take no part, nor do rows without an
 id; vectors of another length than the query's are no candidates of it. A row that
-repeats an id is a candidate of its own. Scores must fit 64 bits. An empty table gives
-no rows; columns other than the two named are ignored.
+repeats an id is a candidate of its own. A component x for which 64 x is no finite double
+counts as non-finite. Scores are whole numbers of any size and ranked as such; one that
+does not fit 64 bits is given as the nearest number that does. An empty table gives no
+rows; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,18 +40,56 @@ SLACK = 1e-9
 
 
 def integers(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(f"`{vector_col}`").cast("array<double>")
-    sound = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)), F.lit(False))
-    kept = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("x")).where(sound & F.col("id").isNotNull())
-    return kept.select("id", F.transform("x", lambda x: F.floor(x * 64).cast("double")).alias("x")).withColumn("len", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)))
+    """(id, x, len): whole-numbered doubles. From 2^52 on a double is whole as it stands; ``floor`` would cut it to 64 bits."""
+    times = F.transform(F.col(f"`{vector_col}`").cast("array<double>"), lambda x: x * 64)
+    kept = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), times.alias("y")).where("id is not null")
+    sound = F.coalesce((F.size("y") > 0) & F.forall("y", lambda y: y.isNotNull() & (F.abs(y) < float("inf")) & ~F.isnan(y)), F.lit(False))
+    whole = F.transform("y", lambda y: F.when(F.abs(y) < float(2**52), F.floor(y).cast("double")).otherwise(y))
+    return kept.where(sound).select("id", whole.alias("x")).withColumn("len", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)))
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of whole-numbered doubles."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    if top < 2**52:
+    """Exact inner products of whole-numbered doubles: by doubles where all sums stay below 2^52, by 64-bit integers below 2^62, else by Python's. Rows decide that alone, so one large row slows no other."""
+    d = q.shape[1]
+    q_top, c_top = np.abs(q).max(1, initial=0), np.abs(c).max(1, initial=0)
+    if float(q_top.max(initial=0)) * float(c_top.max(initial=0)) * d < 2**52:
         return (q @ c.T).astype("i8")
-    return np.asarray(q.astype(object) @ c.astype(object).T)
+    rows, beyond = [], False
+    with np.errstate(over="ignore"):
+        for x, top in zip(q, q_top):
+            bound = c_top * top * d
+            small, large = bound < 2.0**52, bound >= 2.0**62
+            out = np.zeros(len(c), "i8")
+            out[small] = (c[small] @ x).astype("i8")
+            mid = ~small & ~large
+            if mid.any():
+                out[mid] = c[mid].astype("i8") @ x.astype("i8")
+            if large.any():
+                whole = [int(v) for v in x.tolist()]
+                exact = [sum(a * int(b) for a, b in zip(whole, y)) for y in c[large].tolist()]
+                out = out.astype(object)
+                out[large] = exact
+                beyond = True
+            rows.append(out)
+    return np.asarray(rows, dtype=object if beyond else "i8").reshape(len(q), len(c))
+
+
+def below(x: int) -> float:
+    """The largest double that isn't above a whole number."""
+    try:
+        f = float(x)
+    except OverflowError:
+        return sys.float_info.max if x > 0 else -math.inf
+    return math.nextafter(f, -math.inf) if f > x else f
+
+
+def ordinal(score: int) -> tuple[int, bytes]:
+    """A score as 64 bits, and bytes that order those that don't fit."""
+    if -(2**63) <= score < 2**63:
+        return score, b"1"
+    size = (abs(score).bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return (2**63 - 1, b"2" + raw) if score > 0 else (-(2**63), b"0" + bytes(255 - x for x in raw))
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -57,14 +99,16 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
         some = np.flatnonzero(scores >= few)
     else:
         some = np.arange(len(ids))
+    if scores.dtype == object:
+        return np.asarray(sorted(some.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], "i8")
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
 def survivors(q: np.ndarray, q_len: float, floor: float, c: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Places in a block (longest first) of what may reach ``floor``. Bounds are wide by SLACK, so none is lost."""
-    if q_len == 0 or floor <= 0:
+    if q_len == 0 or floor <= 0 or not np.isfinite(q_len * lens[0]):
         return np.arange(len(c))
-    if floor > q_len * lens[0] * (1 + SLACK):
+    if floor * (1 - SLACK) > q_len * lens[0] * (1 + SLACK):
         return np.empty(0, "i8")
     n = int(np.searchsorted(-lens, -floor / q_len * (1 - SLACK), "right"))
     local = floor / (q_len * lens[0]) * (1 - SLACK)
@@ -87,10 +131,10 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "ve
     all_q = integers(queries, id_col, vector_col)
     sizes = [r["d"] for r in all_c.select(F.size("x").alias("d")).distinct().collect()]  # lengths of vectors: one in any sound table
     parts = [_top_k(all_c.where(F.size("x") == d), all_q.where(F.size("x") == d), d, k) for d in sorted(sizes)]
-    out = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+    out = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long, beyond binary")
     for p in parts:
         out = out.union(p)
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return out.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -123,11 +167,12 @@ def _top_k(cands: DataFrame, queries: DataFrame, d: int, k: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
                 q = some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                scores = products(q, x).astype(object if d > 1 << 20 else "f8")
-                scores[some.column(0).to_numpy()[:, None] == ids[None, :]] = -np.inf
-                have = (scores > -np.inf).sum(1)
-                kth = np.partition(scores, max(0, scores.shape[1] - k), 1)[:, max(0, scores.shape[1] - k)] if scores.shape[1] else np.full(len(q), -np.inf)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.where(have >= k, kth, -np.inf))], ["id", "x", "len", "floor"])
+                scores, own = products(q, x), some.column(0).to_numpy()[:, None] == ids[None, :]
+                floor = []
+                for line, mine in zip(scores, own):
+                    line = line[~mine]
+                    floor.append(below(int(np.partition(line, len(line) - k)[len(line) - k])) if len(line) >= k else -np.inf)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(floor, pa.float64())], ["id", "x", "len", "floor"])
 
     ready = queries.mapInArrow(floors, "id long, x array<double>, len double, floor double")
     #: Buckets of like length: the range of an exact sort, cut into blocks of bounded size.
@@ -162,11 +207,11 @@ def _top_k(cands: DataFrame, queries: DataFrame, d: int, k: int) -> DataFrame:
                     if not len(some):
                         continue
                     scores = products(q[i : i + 1], c[some])[0]
-                    hit = np.flatnonzero(scores >= floor) if floor > -np.inf else np.arange(len(some))
+                    hit = np.flatnonzero((scores >= floor).astype(bool)) if floor > -np.inf else np.arange(len(some))
                     best = hit[_best(ids[some][hit], scores[hit], k)] if len(hit) else hit
                     out_q += [qid] * len(best)
                     out_v += ids[some][best].tolist()
-                    out_s += [int(x) for x in scores[best]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
+                    out_s += [ordinal(int(x)) for x in scores[best]]
+                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array([x for x, _ in out_s], pa.int64()), pa.array([x for _, x in out_s], pa.binary())], ["query_id", "vec_id", "score", "beyond"])
 
-    return work.mapInArrow(verify, "query_id long, vec_id long, score long")
+    return work.mapInArrow(verify, "query_id long, vec_id long, score long, beyond binary")

@@ -243,3 +243,30 @@ def test_top_k_with_one_dominant_coordinate(spark):
     for q in range(len(x)):
         best = sorted((-int(v[q] @ v[i]), i) for i in range(len(x)) if i != q)[:3]
         assert [got[q, n + 1] for n in range(3)] == [(i, -s) for s, i in best]
+
+
+def brute_top_k(rows, k):
+    v = {i: [int(np.floor(64 * c)) if abs(c) < 2**46 else int(c) * 64 for c in x] for i, x in rows}
+    out = []
+    for q in v:
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)[:k]
+        out += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1e5, 1e7, 5e7, 1e30, 1e155])
+def test_top_k_of_large_components(spark, scale, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    rows = [(i, (scale * (1 + 1e-9 * rng.random(4))).tolist()) for i in range(120)]
+    rows += [(200 + i, rng.standard_normal(4).tolist()) for i in range(60)] + [(300 + i, (-scale * rng.random(4)).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, df, k=5).collect()))
+    assert got == brute_top_k(rows, 5)
+
+
+def test_one_huge_row_leaves_the_others_as_they_are(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)] + [(300, [1e30] * 8), (301, [1.7e308] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, df, k=20).collect())) == brute_top_k(rows[:-1], 20)  # 64 x of the last is no finite double
