@@ -1,17 +1,27 @@
 """Personal data: fixed forms, and identifiers that appear where such forms do.
 
 All of it is DataFrame expressions. Base spans come from four expressions whose matches
-are checked afterwards (parts of an address, Luhn's sum, numbers of digits). They are the
-seeds of the contextual part: the two words before a seed are a pattern; every token of
-an identifier's shape has the pattern before it, too. The graph of patterns and tokens is
-scored in rounds: a pattern by the share of its tokens that are known (seeds count fully,
-others by their score), a token by the patterns that are sure enough. Tokens that sure
-patterns introduce are spans of kind ``context``; base spans stay as they are.
+are checked afterwards (parts of an address, Luhn's sum, numbers of digits).
+
+The contextual part bootstraps from them. A *place* is any token with a digit or an at
+sign, with the groups of digits that follow it after single blanks. A place that overlaps
+a base span is a seed of score 1; one of a key's shape (long, letters and digits mixed) is
+a seed of score ``KEY``, which alone is no span; any other starts at 0. Each place has up
+to two lexical patterns: the two words before it (one word, where a label's sign as in
+``token = "`` stands between), and the word before it with the word after it. The graph of
+patterns and tokens is scored in rounds: a pattern by the mean score of its places, if it
+has enough different known tokens; a token by the sure patterns it stands in. Places that
+a sure pattern introduces are spans of kind ``context``; base spans stay as they are.
+
+One pass reads the texts. What it finds (spans, places as numbers, pattern hashes) is a
+table without texts; the graph is made of that. Patterns and tokens that hold a large part
+of it are spread, so no task meets one key's rows. Texts move only to be masked, and then
+only those that have a place of which the graph decides.
 
 The expressions match the same spans as the plain ones in ``BASE`` but start only where a
 match can start and never go back over what they took, so they stay linear on long runs.
-Null texts count as empty. Rows that repeat an id and text get the same spans. Null ids
-stay null. An empty table gives no rows.
+Null texts count as empty. Each row is looked at by itself, so repeated ids and rows get
+their own spans. Null ids stay null. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, running_totals, stored
+from .common import Scratch, free_name, running_totals, spread_join
 
 # The plain forms, in the order in which kinds are listed.
 BASE = {
@@ -38,28 +48,27 @@ LINEAR = {
 #: What any text with a match has.
 NEEDS = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 KINDS = [*BASE, "context"]
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: A token is like an identifier if it has so many digits, or a sign @ inside.
-TOKEN_DIGITS = 7
-#: A pattern counts with so many different known tokens and such a share of known ones; a token from such a score on.
+#: Signs that may stand inside a token.
+SIGNS = r"_@./:+-"
+#: A token with a digit or an at sign, and the groups of digits after it. It starts where no such run is under way, so a text is gone over once.
+TOKEN = rf"(?<![\p{{L}}\p{{N}}{SIGNS}])\(?+(?=[\p{{L}}{SIGNS}]*+[\p{{N}}@])[\p{{L}}\p{{N}}{SIGNS}]++\)?+(?:\x20?\(?+[0-9][0-9./:-]*+\)?+(?![\p{{L}}@_]))*+"
+#: What any text with a token has; signs that aren't part of the identifier at a token's ends.
+TOKEN_NEEDS, LEAD, TRAIL = r"[\p{N}@]", r"^[^\p{L}\p{N}+(]++", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
+#: The shape of a key: 20 letters, digits or underscores at least, four letters and four digits among them. Its score as a seed.
+KEY_SHAPE, KEY = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})[A-Za-z0-9_]{20,}$", 0.9
+#: The signs and up to two words from where a gap between tokens starts (or, turned round, ends); a label's sign.
+EDGE, LABEL = r"^([^\p{L}]*+)(\p{L}++)(?:[^\p{L}]++(\p{L}++))?+", "[=:#]"
+#: A pattern counts with so many different known tokens and such a mean score; a token is known from such a score on.
 LEAST_KNOWN, SURE, ROUNDS = 3, 0.8, 3
-#: What any text with such a token has: so many digits without a blank between them, or the sign.
-TOKEN_NEEDS = [rf"[0-9](?:[^\s0-9]*+[0-9]){{{TOKEN_DIGITS - 1}}}", "@"]
-#: Code points before a token in which its pattern is looked for.
-REACH = 80
-#: Discovered spans up to which they are broadcast; beyond it both sides are shuffled.
-BROADCAST_SPANS = 100_000
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+PLACE = "array<struct<start:int,end:int,token:bigint,seed:double,patterns:array<bigint>>>"
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Matches as an array of (match, start), code points: gaps and matches alternate, so their lengths add up to the places."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    lengths = F.zip_with(gaps, F.transform(matches, F.char_length), lambda g, m: g + F.coalesce(m, F.lit(0)))
-    before = F.zip_with(running_totals(lengths), gaps, lambda t, g: (t + g).cast("int"))
-    paired = F.zip_with(matches, F.slice(before, F.lit(1), F.size(matches)), lambda m, s: F.struct(m.alias("m"), s.alias("s")))
-    return F.when(F.size(matches) > 0, paired).otherwise(F.array().cast("array<struct<m:string,s:int>>"))
+def _starts(matches: Column, gaps: Column) -> Column:
+    """Where matches start, in code points: gaps and matches alternate, so their lengths add up to the places."""
+    before = F.transform(gaps, F.char_length)
+    lengths = F.zip_with(before, F.transform(matches, F.char_length), lambda g, m: g + F.coalesce(m, F.lit(0)))
+    return F.slice(F.zip_with(running_totals(lengths), before, lambda t, g: (t + g).cast("int")), F.lit(1), F.size(matches))
 
 
 def _luhn(digits: Column) -> Column:
@@ -86,55 +95,102 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Spans of one kind as (start, rank, end); texts that can't have one aren't searched."""
-    rank = KINDS.index(kind)
-    good = F.filter(_found(text, LINEAR[kind]), lambda x: _holds(kind, x["m"]))
-    spans = F.transform(good, lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), (x["s"] + F.char_length(x["m"])).alias("end")))
-    return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.array().cast(SPAN))
-
-
-def _pattern(text: Column, start: Column) -> Column:
-    """The two words before a place, in lower case and without signs and digits; null without two."""
-    near = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    words = F.regexp_extract(near, r"(?<!\S)(\S+\s+\S+)\s+$", 1)
-    plain = F.trim(F.regexp_replace(F.lower(words), r"[^\p{L}]+", " "))
-    return F.when(plain.rlike(" "), plain)
-
-
-def with_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
-    """``docs`` with two further columns: base spans, and all spans, each sorted by start, then kind. The two names must be free."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    found = F.array_sort(F.concat(*[base_spans(text, k) for k in BASE]))
-    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    rows = keyed.where(" or ".join(f"text rlike r'{x}'" for x in [*NEEDS.values(), *TOKEN_NEEDS])).select("id", F.xxhash64("text").alias("th"), "text")
-    looked = rows.select("id", "th", "text", F.array_sort(F.concat(*[base_spans(F.col("text"), k) for k in BASE])).alias("base"))
-    tokens = F.filter(_found(F.col("text"), TOKEN), lambda x: x["m"].rlike(r"\S@\S") | (F.char_length(F.regexp_replace(x["m"], "[^0-9]", "")) >= TOKEN_DIGITS))
-    tokens = F.transform(tokens, lambda x: F.struct(x["s"].alias("start"), F.lit(KINDS.index("context")).alias("rank"), (x["s"] + F.char_length(x["m"])).alias("end")))
-    free = lambda t, b: ~F.exists(b, lambda y: (y["start"] < t["end"]) & (t["start"] < y["end"]))
-    both = looked.withColumn("tokens", tokens).select("id", "th", "text", F.explode(F.concat("base", F.filter("tokens", lambda t: free(t, F.col("base"))))).alias("x"))
-    places = both.select("id", "th", "x", F.lower(F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start"))).alias("token"), _pattern(F.col("text"), F.col("x.start")).alias("pattern")).where("pattern is not null")
-    places = stored(places.select("id", "th", "x", F.xxhash64("token").alias("token"), F.xxhash64("pattern").alias("pattern"), (F.col("x.rank") < len(BASE)).alias("seed")), "places")
-    more = stored(_discovered(places).groupBy("id", "th").agg(F.collect_set("x").alias("more")), "discovered")
-    if more.agg(F.coalesce(F.sum(F.size("more")), F.lit(0))).first()[0] <= BROADCAST_SPANS:  # few texts have such spans: then the texts needn't move to meet them
-        more = F.broadcast(more)
-    out = docs.withColumn(base, found).join(more, F.col(f"`{id_col}`").eqNullSafe(more["id"]) & (F.xxhash64(text) == more["th"]), "left")
-    every = F.array_sort(F.concat(F.col(base), F.coalesce("more", F.array().cast(SPAN))))
-    return out.withColumn(spans, every).select(*[F.col(f"`{c}`") for c in docs.columns], base, spans)
-
-
-def _discovered(places: DataFrame) -> DataFrame:
-    """Of the places that are no seeds, those whose pattern is sure and whose token scores high enough in the end."""
-    graph = stored(places.groupBy("pattern", "token").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("double")).alias("score")), "graph")
+def _before(spans: Column, start: Column, end: Column) -> Column:
+    """Whether a span of one kind overlaps (start, end): the last that starts before the end decides, found by halving."""
+    n = F.size(spans)
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda lo, x: F.when(lo + x <= n, F.when(F.get(spans, lo + x - 1)["start"] < end, lo + x).otherwise(lo)).otherwise(lo))
+    return F.when(n > 0, F.coalesce(F.get(spans, found - 1)["end"] > start, F.lit(False))).otherwise(F.lit(False))
+
+
+def _patterns(left: Column, right: Column, first: Column) -> Column:
+    """Hashes of a place's patterns from the gaps on both sides. Where the gap ends at another token, that stands for a word."""
+    turned, after = F.reverse(F.lower(left)), F.lower(right)
+    part = lambda x, k: F.regexp_extract(x, EDGE, k)
+    signs, near, far = F.regexp_replace(part(turned, 1), r"\s+", ""), part(turned, 2), part(turned, 3)
+    far = F.when((far == "") & ~first, F.lit("0")).otherwise(far)
+    two = F.when(signs.rlike(LABEL), F.concat(near, F.lit("\n"), signs)).when(far != "", F.concat(near, F.lit(" "), far))
+    word = part(after, 2)
+    round_ = F.when(word != "", F.concat(near, F.lit(" _ "), word))
+    return F.when(near != "", F.array_compact(F.array(F.when(two.isNotNull(), F.xxhash64(F.lit(1), two)), F.when(round_.isNotNull(), F.xxhash64(F.lit(2), round_))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _scanned(rows: DataFrame) -> DataFrame:
+    """(row, key, base, places) of (row, key, text): one pass over the texts. Steps are projections of their own, so that no expression is computed twice."""
+    text, none = F.col("text"), F.array().cast("array<string>")
+    forms, needs = LINEAR | {"token": TOKEN}, NEEDS | {"token": TOKEN_NEEDS}
+    some = rows.select("row", "key", "text", *[F.when(text.rlike(needs[k]), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias(f"m_{k}") for k, p in forms.items()])
+    gaps = some.select("row", "key", *[f"m_{k}" for k in forms], *[F.when(F.size(f"m_{k}") > 0, F.split(text, p, -1)).otherwise(none).alias(f"g_{k}") for k, p in forms.items()])
+    at = gaps.select("row", "key", "g_token", *[f"m_{k}" for k in forms], *[F.when(F.size(f"m_{k}") > 0, _starts(F.col(f"m_{k}"), F.col(f"g_{k}"))).otherwise(F.array().cast("array<int>")).alias(f"s_{k}") for k in forms])
+
+    def spans(kind: str) -> Column:
+        found = F.zip_with(f"m_{kind}", f"s_{kind}", lambda m, s: F.when(_holds(kind, m), F.struct(s.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (s + F.char_length(m)).alias("end"))))
+        return F.when(F.size(f"m_{kind}") > 0, F.array_compact(found)).otherwise(F.array().cast(SPAN))
+
+    lead = F.transform("m_token", lambda m: F.char_length(F.regexp_extract(m, LEAD, 0)))
+    cores = F.zip_with("m_token", lead, lambda m, n: F.regexp_replace(F.substring(m, n + 1, F.char_length(m)), TRAIL, ""))
+    begin = F.zip_with("s_token", lead, lambda s, n: s + n)
+    kinds = at.select("row", "key", "g_token", cores.alias("cores"), begin.alias("begins"), *[spans(k).alias(f"b_{k}") for k in BASE])
+
+    def place(core: Column, i: Column) -> Column:
+        start = F.get("begins", i)
+        end = start + F.char_length(core)
+        meets = F.lit(False)
+        for k in BASE:
+            meets = meets | _before(F.col(f"b_{k}"), start, end)
+        seed = F.when(meets, 1.0).when(core.rlike(KEY_SHAPE), KEY).otherwise(0.0)
+        return F.struct(start.alias("start"), end.alias("end"), F.xxhash64(F.lower(core)).alias("token"), seed.alias("seed"), _patterns(F.get("g_token", i), F.get("g_token", i + 1), i == 0).alias("patterns"))
+
+    places = F.when(F.size("cores") > 0, F.transform("cores", place)).otherwise(F.array().cast(PLACE))
+    return kinds.select("row", "key", F.array_sort(F.concat(*[f"b_{k}" for k in BASE])).alias("base"), places.alias("places"))
+
+
+def _decided(place: Column) -> Column:
+    """Whether the graph decides of a place: it is part of no base span and has a pattern."""
+    return (place["seed"] < 1) & (F.size(place["patterns"]) > 0)
+
+
+def sure_patterns(graph: DataFrame, work: Scratch) -> DataFrame:
+    """(pattern, conf, tokens, places) of the patterns that are sure in the end. ``graph``: (pattern, token, n, score), stored."""
+    total = graph.count()
+    degree = work.stored(graph.groupBy("token").agg(F.count("*").alias("degree")), "degrees")
     scored = graph
-    for _ in range(ROUNDS):
-        patterns = scored.groupBy("pattern").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("conf"), F.count(F.when(F.col("score") >= SURE, 1)).alias("known")).where((F.col("known") >= LEAST_KNOWN) & (F.col("conf") >= SURE))
-        sure = stored(patterns.select("pattern", "conf"), "patterns")
-        doubt = F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))
-        tokens = graph.join(sure, "pattern").groupBy("token").agg((1 - F.exp(F.sum(doubt))).alias("by_context"))
-        scored = stored(graph.join(tokens, "token", "left").select("pattern", "token", "n", F.greatest("score", F.coalesce("by_context", F.lit(0.0))).alias("score")), "scored")
-    good = scored.where(F.col("score") >= SURE).join(sure, "pattern", "left_semi").select("pattern", "token")
-    return places.where("not seed").join(good, ["pattern", "token"], "left_semi").select("id", "th", "x")
+    for step in range(ROUNDS):
+        told = scored.groupBy("pattern").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("conf"), F.count(F.when(F.col("score") >= SURE, 1)).alias("known"), F.count("*").alias("tokens"), F.sum("n").alias("places"))
+        sure = work.stored(told.where((F.col("known") >= LEAST_KNOWN) & (F.col("conf") >= SURE)).drop("known"), "patterns")
+        if step + 1 < ROUNDS:
+            doubt = F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))
+            by = spread_join(graph, sure.select("pattern", "conf", "tokens"), ["pattern"], "tokens", total).groupBy("token").agg((1 - F.exp(F.sum(doubt))).alias("by_context"))
+            by = work.stored(by.join(degree, "token"), "tokens")
+            scored = spread_join(graph, by, ["token"], "degree", total, "left").select("pattern", "token", "n", F.greatest("score", F.coalesce("by_context", F.lit(0.0))).alias("score"))
+    return sure
+
+
+def _discovered(scanned: DataFrame, work: Scratch) -> DataFrame:
+    """(key, more): the spans that sure patterns introduce, for each row that has some."""
+    each = scanned.select("key", F.explode("places").alias("p")).select("key", "p.start", "p.end", "p.token", "p.seed", F.explode("p.patterns").alias("pattern"))
+    graph = work.stored(each.groupBy("pattern", "token").agg(F.count("*").alias("n"), F.max("seed").alias("score")), "graph")
+    sure = sure_patterns(graph, work)
+    span = F.struct("start", F.lit(KINDS.index("context")).alias("rank"), "end").alias("x")
+    free = each.where("seed < 1").select("key", "pattern", span)
+    total = graph.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = spread_join(free, sure.select("pattern", "places"), ["pattern"], "places", total)
+    return found.groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("more"))
+
+
+def with_spans(docs: DataFrame, *, text_col: str = "text", base: str = "base", spans: str = "spans", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (without the columns in ``drop``) with two further columns: base spans, and all spans, each sorted by start, then kind. The two names must be free."""
+    work = Scratch(docs.sparkSession)
+    keep = [c for c in docs.columns if c not in drop]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    scanned = work.stored(_scanned(rows), "scanned")
+    more = work.stored(_discovered(scanned, work), "discovered")
+    is_open = F.exists("places", _decided)
+    decided = scanned.where(is_open).select("key", "row", "base").join(more, "key", "left").select("row", "base", "more")
+    out = scanned.where(~is_open).select("row", "base", F.lit(None).cast(SPAN).alias("more")).union(decided)
+    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
+    work.drop(scanned, more)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("base").alias(base), every.alias(spans))
 
 
 def written(spans: Column) -> Column:
@@ -144,17 +200,17 @@ def written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, numbers of base spans by kind, digest of the base spans, and all spans."""
-    found = with_spans(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
-    count = lambda k: F.size(F.filter("base", lambda x: x["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    """doc_id, numbers of base spans by kind, digest of the base spans, all spans, and numbers of contextual and of all spans."""
+    found = with_spans(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), drop=("text",))
+    count = lambda k, c: F.size(F.filter(c, lambda x: x["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k, "base") for k in BASE], F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), count("context", "spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
-def masked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def masked(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with each span, or run of spans that overlap, replaced by the name of its first kind in brackets. Null texts stay null."""
     base = free_name(docs, "base_spans")
     spans = free_name(docs, "all_spans")
-    found = with_spans(docs, id_col=id_col, text_col=text_col, base=base, spans=spans)
+    found = with_spans(docs, text_col=text_col, base=base, spans=spans)
     none = F.array().cast(SPAN)
 
     def merge(done: Column, x: Column) -> Column:

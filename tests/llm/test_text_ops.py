@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 
 pytest.importorskip("millrace.llm")
 
@@ -163,27 +164,106 @@ def test_pii_base_equals_plain_expressions(spark, sf):
     assert pii.report(docs.where("false")).count() == 0
 
 
-def test_pii_context_discovers(spark):
-    seeds = [f"please write to me under my number +1 (743) 555-38{i:02d} soon" for i in range(10)]
-    texts = seeds + ["please write to me under my number 0743/5553824 soon", "in the year 20240101 there was my dog 12345678", None, ""]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(10, texts[10])], "doc_id long, text string")
-    got = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
-    at = texts[10].index("0743")
-    assert got[10] == f"context:{at}:{at + 12}" and got[11] == "" and got[12] == ""
-    clean = {r["doc_id"]: r["text"] for r in pii.masked(docs).collect()}
-    assert clean[10] == texts[10].replace("0743/5553824", "[CONTEXT]") and clean[0] == seeds[0].replace("+1 (743) 555-3800", "[PHONE]") and clean[12] is None and clean[11] == texts[11]
-
-
-def test_pii_context_finds_digits_in_short_groups(spark):
-    seeds = [f"please write to me under my number +1 (743) 555-38{i:02d} soon" for i in range(40)]
-    tokens = ["123-456-789", "06-12-34-56-78", "AB12-34-567", "AB12-34-56"]
-    texts = seeds + [f"please write to me under my number {t} soon" for t in tokens]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+def contextual(texts):
+    """The contextual spans of each text, by plain loops over all of them."""
+    letters, label = regex.compile(r"\p{L}+"), regex.compile("[=:#]")
+    places = []  # (text, start, end, token, seed, patterns)
+    for at, text in enumerate(texts):
+        text = text or ""
+        base = base_spans(text)
+        found = list(regex.finditer(pii.TOKEN, text))
+        for i, m in enumerate(found):
+            start, end = m.span()
+            while not (text[start] in "+(" or regex.match(r"[\p{L}\p{N}]", text[start])):
+                start += 1
+            while end > start and not regex.match(r"[\p{L}\p{N}]", text[end - 1]):
+                end -= 1
+            core = text[start:end]
+            left = text[found[i - 1].end() if i else 0 : m.start()].lower()
+            right = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)].lower()
+            before, after = letters.findall(left), letters.findall(right)
+            patterns = set()
+            if before:
+                signs = regex.sub(r"\s+", "", left[left.rindex(before[-1]) + len(before[-1]) :])
+                if label.search(signs):
+                    patterns.add(("label", before[-1], signs))
+                elif len(before) > 1 or i:
+                    patterns.add(("two", before[-2] if len(before) > 1 else "0", before[-1]))
+                if after:
+                    patterns.add(("round", before[-1], after[0]))
+            shape = len(core) >= 20 and re.fullmatch("[A-Za-z0-9_]+", core) and len(re.findall("[0-9]", core)) >= 4 and len(re.findall("[A-Za-z]", core)) >= 4
+            seed = 1.0 if any(s < end and start < e for s, _, e, _ in base) else pii.KEY if shape else 0.0
+            places.append((at, start, end, core.lower(), seed, patterns))
+    graph = {}
+    for _, _, _, token, seed, patterns in places:
+        for p in patterns:
+            n, score = graph.get((p, token), (0, 0.0))
+            graph[p, token] = n + 1, max(score, seed)
+    score = {k: s for k, (_, s) in graph.items()}
+    for _ in range(pii.ROUNDS):
+        by = {}
+        for (p, token), (n, _) in graph.items():
+            by.setdefault(p, []).append((n, score[p, token]))
+        conf = {p: sum(n * s for n, s in x) / sum(n for n, _ in x) for p, x in by.items() if sum(s >= pii.SURE for _, s in x) >= pii.LEAST_KNOWN}
+        conf = {p: c for p, c in conf.items() if c >= pii.SURE}
+        rest = {}
+        for p, token in graph:
+            if p in conf:
+                rest[token] = rest.get(token, 1.0) * max(1 - conf[p], 1e-6)
+        score = {(p, t): max(graph[p, t][1], 1 - rest.get(t, 1.0)) for p, t in graph}
+    out = {}
+    for at, start, end, _, seed, patterns in places:
+        if seed < 1 and patterns & conf.keys():
+            out.setdefault(at, set()).add(f"context:{start}:{end}")
+    return out
+
+
+def test_pii_context_equals_plain_loops(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["the", "my", "number", "is", "é", "card", "of", "ID", "page", "Straße", "user", "to"])
+    thing = [lambda: f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}", lambda: f"u{rng.randrange(99)}@mail.example.com", lambda: f"0{rng.randrange(100, 999)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}", lambda: f"EMP-{rng.randrange(10**5)}", lambda: str(rng.randrange(30)), lambda: "%040x" % rng.getrandbits(160), lambda: f"(743) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"]
+    lead = [["my", "number"], ["card", "#"], ["token", "="], ["user", "ID", ":"], ["on", "page"], []]
+    texts = []
+    for _ in range(700):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            k = rng.randrange(len(lead))
+            parts += [word() for _ in range(rng.randrange(4))] + lead[k] + [rng.choice(['"', "", "("]) + thing[rng.choice([0, 1, 5] * 8 + [2, 3, 6] if k < 3 else [4, 4, 4, 3, 2, 0] if k == 4 else range(7))]() + rng.choice(['"', "", ",", "!!", "."])]
+        texts.append(" ".join(parts + [word() for _ in range(rng.randrange(3))]))
+    texts += ODD + PII_ODD + [texts[0], texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: {x for x in r["spans"].split(",") if x.startswith("context")} for r in pii.report(docs).collect()}
+    want = contextual(texts)
+    assert len(want) > 50
+    assert {k: v for k, v in got.items() if v} == want
+
+
+def test_pii_context_of_real_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    want = contextual([r["text"] for r in rows])
+    got = pii.report(docs).collect()
+    assert sum(map(len, want.values())) > 10
+    assert {r["doc_id"]: {x for x in r["spans"].split(",") if x.startswith("context")} for r in got if r["n_context"]} == {rows[k]["doc_id"]: v for k, v in want.items()}
+
+
+@pytest.mark.parametrize("heavy", [1, 1000])
+def test_pii_context_discovers(spark, monkeypatch, heavy):
+    monkeypatch.setattr("millrace.llm.common.HEAVY", heavy)  # 1: every key is shuffled; 1000: those that hold much are broadcast
+    seeds = [f"please write to me under my number +1 (743) 555-38{i:02d} soon" for i in range(30)]
+    tokens = ["0743/5553824", "123-456-789", "06-12-34-56-78", "AB12-34-56", "0743 555 3824", "(743) 555-3824", "743 555"]
+    texts = seeds + [f"please write to me under my number {t} soon" for t in tokens] + ["in the year 20240101 there was my dog 12345678", None, "", "my" + " " * 300 + "number 4711", "x" * 400 + " my number 4712"]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(30, texts[30], "z")], "doc_id long, text string, row string")
     got = {r["doc_id"]: r["spans"] for r in pii.report(docs.repartition(3)).collect()}
-    at = texts[40].index("123")
-    assert [got[40 + i] for i in range(4)] == [f"context:{at}:{at + len(t)}" for t in tokens[:3]] + [""]
-    clean = {r["doc_id"]: r["text"] for r in pii.masked(docs).collect()}
-    assert [clean[40 + i] for i in range(3)] == ["please write to me under my number [CONTEXT] soon"] * 3 and clean[43] == texts[43]
+    at = len("please write to me under my number ")
+    assert [got[30 + i] for i in range(7)] == [f"context:{at}:{at + len(t)}" for t in tokens]
+    assert [got[37 + i] for i in range(3)] == ["", "", ""] and got[40] == "context:309:313" and got[41] == "context:411:415"
+    found = pii.masked(docs)
+    assert found.columns == docs.columns
+    clean = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert [clean[30 + i] for i in range(7)] == ["please write to me under my number [CONTEXT] soon"] * 7
+    assert clean[0] == seeds[0].replace("+1 (743) 555-3800", "[PHONE]") and clean[38] is None and clean[37] == texts[37]
+    assert pii.masked(docs.where("false")).count() == 0
 
 
 def conversations(spark, sf):
