@@ -63,6 +63,9 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def remove(self, table: DataFrame) -> None:
+        remove(self.spark, self.paths.pop(id(table))[1])
+
     def drop(self, *keep: DataFrame) -> None:
         for key, (_, path) in list(self.paths.items()):
             if all(key != id(k) for k in keep):
@@ -79,6 +82,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, tot
     """
     is_heavy = F.col(rows) > max(total // HEAVY, 1)
     heavy = right.where(is_heavy).drop(rows)
+    if heavy.isEmpty():
+        return left.join(right.drop(rows), on, how)
     mark = free_name(left, "is_heavy")
     marked = left.join(F.broadcast(heavy.select(*on, F.lit(True).alias(mark))), on, "left")
     hot = marked.where(F.col(mark)).drop(mark).join(F.broadcast(heavy), on, "inner")

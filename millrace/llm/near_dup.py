@@ -14,8 +14,9 @@
    that share a band. Candidates whose weights or samples rule the threshold out are
    dropped; the rest are verified by the exact weighted Jaccard similarity of their whole
    texts. Pairs within a component need no test, so a group of m copies costs about m
-   tests. Bands of many classes end in tiles of bounded size, compared as matrices, which
-   return links between components and never pairs.
+   tests. Bands of many classes end in tiles of bounded size: first samples meet, and only
+   members of a tile with a likely partner in another component bring their texts, which
+   are compared as matrices. Tiles return links between components and never pairs.
 4. Connected components of verified links are the groups.
 
 Words are runs of letters and digits in lower case. A text of fewer than five words is
@@ -25,6 +26,7 @@ own. Rows that repeat an id and its text stand and fall together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +36,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, spread_join
 from .graph import components
 
-WORDS, BANDS, ROWS = 5, 12, 4
+WORDS = 5
+#: Wanted chance that a pair at the threshold shares a band; most samples of a text; chance that such a pair agrees in too few samples to be looked at.
+MEET, SAMPLES, MISSED = 0.998, 64, 1e-6
 #: Cells of the table of document frequencies, as a power of two.
 CELL_BITS = 18
 #: Classes in a band beyond which they are compared in tiles, and classes in a tile's side.
 CROWD, TILE = 16, 128
-#: Least share of equal samples; two texts at the threshold fall below it once in millions.
-LEAST_EQUAL = 0.5
+#: Pairs with one hub whose texts are compared in one task.
+HUB_PAIRS = 128
 #: A class is told by the least (id, th) of its rows: an id that repeats with other texts stands for a class by each.
 NODE = "struct<id:long,th:long>"
 CHUNK = 1 << 20
@@ -213,7 +217,24 @@ def word_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return 1 + np.log((1 + total) / (1 + df))
 
 
-def signatures(rows: DataFrame, idf: np.ndarray, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+def layout(threshold: float) -> tuple[int, int, int]:
+    """(bands, samples of a band, least number of equal samples) for a threshold: the longest bands with which pairs at the threshold meet as wanted."""
+    choices = []
+    for rows in range(1, 17):
+        bands = math.ceil(math.log(1 - MEET) / math.log1p(-min(threshold, 1 - 1e-9) ** rows))
+        if bands * rows <= SAMPLES or not choices:
+            choices.append((bands, rows))
+    bands, rows = choices[-1]
+    n, below, least = bands * rows, 0.0, 0
+    while least < n:
+        below += math.comb(n, least) * threshold**least * (1 - threshold) ** (n - least)
+        if below > MISSED:
+            break
+        least += 1
+    return bands, rows, least
+
+
+def signatures(rows: DataFrame, idf: np.ndarray, bands: int, per_band: int) -> DataFrame:
     """(id, th, d1, d2, weight, sig) of rows (id, th, text) whose text has words; d1 and d2 tell texts of equal words."""
     held = rows.sparkSession.sparkContext.broadcast(idf)
 
@@ -275,18 +296,33 @@ def similarities(codes: np.ndarray, weights: np.ndarray, begins: np.ndarray, col
     return np.divide(common, whole, out=np.zeros_like(common), where=whole > 0)
 
 
-def _tiled(left: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def _tiled(left: DataFrame, signs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, least: int, work: Scratch) -> DataFrame:
     """Links (a, b) between components within bands, of (key, id, root), whose id and root are classes: enough to join all that are linked. Blocks of the largest component of a band don't meet each other."""
     held = left.sparkSession.sparkContext.broadcast(idf)
-    size = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all")).select("key", F.col("m.root").alias("main"), F.ceil(F.col("m.n") / TILE).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("m.n")) / TILE).cast("int").alias("others"))
+    size = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    size = work.stored(size.select("key", "all", F.col("m.root").alias("main"), F.ceil(F.col("m.n") / TILE).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("m.n")) / TILE).cast("int").alias("others")), "sizes")
     own = F.xxhash64("id")
-    placed = left.join(size, "key").withColumn("block", F.when(F.col("root") == F.col("main"), F.col("others") + F.pmod(own, F.col("mains"))).otherwise(F.pmod(own, F.col("others"))).cast("int"))
+    placed = spread_join(left, size, ["key"], "all", left.count()).withColumn("block", F.when(F.col("root") == F.col("main"), F.col("others") + F.pmod(own, F.col("mains"))).otherwise(F.pmod(own, F.col("others"))).cast("int"))
     meets = F.when(F.col("root") == F.col("main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
-    tiles = placed.withColumn("other", F.explode(meets)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root").join(texts, "id")
-    tiles = tiles.select("key", "i", "j", "id.id", "id.th", F.col("root.id").alias("root_id"), F.col("root.th").alias("root_th"), "text")
+    tiles = placed.join(signs, "id").withColumn("other", F.explode(meets)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id.id", "id.th", F.col("root.id").alias("root_id"), F.col("root.th").alias("root_th"), "weight", "sig")
+    names = ["key", "i", "j", "id", "th", "root_id", "root_th"]
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def likely(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Members with a partner in another component that neither weights nor samples rule out."""
         pdf = pdf.drop_duplicates(["id", "th"])
+        sig, w = np.stack(pdf["sig"].to_numpy()), pdf["weight"].to_numpy()
+        root = pdf.groupby(["root_id", "root_th"]).ngroup().to_numpy()
+        near = np.zeros(len(pdf), bool)
+        for k in range(0, len(pdf), 32):
+            same = (sig[k : k + 32, None, :] == sig[None, :, :]).sum(2) >= least
+            lighter, heavier = np.minimum(w[k : k + 32, None], w), np.maximum(w[k : k + 32, None], w)
+            near[k : k + 32] = (same & (root[k : k + 32, None] != root) & (lighter >= threshold * 0.999999 * heavier)).any(1)
+        return pdf.loc[near, names]
+
+    some = work.stored(tiles.groupBy("key", "i", "j").applyInPandas(likely, "key long, i int, j int, id long, th long, root_id long, root_th long"), "likely")
+    tiles = some.withColumn("node", F.struct("id", "th")).join(texts.withColumnRenamed("id", "node"), "node").select(*names, "text")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sims = similarities(*shingles(*words(pa.array(pdf["text"], pa.string())), held.value))
         ids = list(zip(pdf["id"].tolist(), pdf["th"].tolist()))
         roots = pdf.groupby(["root_id", "root_th"]).ngroup().to_numpy()
@@ -310,12 +346,15 @@ def _tiled(left: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float)
     return found.select(F.struct(F.col("a").alias("id"), F.col("ta").alias("th")).alias("a"), F.struct(F.col("b").alias("id"), F.col("tb").alias("th")).alias("b"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Of pairs (a, b), those whose weighted Jaccard similarity reaches the threshold, with it."""
+def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, work: Scratch) -> DataFrame:
+    """Of pairs (a, b), those whose weighted Jaccard similarity reaches the threshold. A hub b may be in any number of pairs: they are dealt in blocks, and its text is read once for each block."""
     held = pairs.sparkSession.sparkContext.broadcast(idf)
+    pairs = work.stored(pairs.select("a", "b"), "pairs")
+    hubs = work.stored(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / HUB_PAIRS).cast("int")), "hubs")
+    dealt = spread_join(pairs, hubs, ["b"], "n", pairs.count()).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).drop("blocks")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    right = hubs.select("b", "blocks").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    both = dealt.join(left, "a").join(right, ["b", "block"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,70 +366,92 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
                     sides.append([(codes[s:e], weights[s:e]) for s, e in zip(at[:-1], at[1:])])
                 sims = np.asarray([weighted_jaccard(x, y) for x, y in zip(*sides)], "f8")
                 good = pa.array(np.flatnonzero(sims >= threshold))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(good), some.column(1).take(good), pa.array(sims).take(good)], ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(good), some.column(1).take(good)], ["a", "b"])
 
-    return both.mapInArrow(run, f"a {NODE}, b {NODE}, similarity double")
+    return both.mapInArrow(run, f"a {NODE}, b {NODE}")
 
 
-def groups(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, per_band: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", work: Scratch | None = None) -> DataFrame:
     """(id, th, class_id): the least id of its group, for each row that has an id and words. ``th`` is xxhash64 of the text."""
+    work = work or Scratch(docs.sparkSession)
+    bands, per_band, least = layout(threshold)
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).where("id is not null and text is not null")
     idf = word_idf(rows)
-    signed = stored(signatures(rows, idf, bands, per_band), "signatures")
+    signed = work.stored(signatures(rows, idf, bands, per_band), "signatures")
     node = F.struct("id", "th")
-    classes = stored(signed.groupBy("d1", "d2").agg(F.min(node).alias("rep"), F.first("weight").alias("weight"), F.first("sig").alias("sig")), "classes")
+    classes = work.stored(signed.groupBy("d1", "d2").agg(F.min(node).alias("rep"), F.first("weight").alias("weight"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("id"), "weight", "sig")
     keyed = reps.select("id", F.explode(_band_keys(F.col("sig"), bands, per_band)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = stored(keyed.join(shared, "key"), "bands")
+    shared = work.stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("members", F.col("n")), "shared")
+    crowded = work.stored(spread_join(keyed, shared, ["key"], "members", classes.count() * bands), "bands")  # (id, key, n)
+    total = crowded.count()
     meets = crowded.groupBy("id").agg(F.sum("n").alias("meets"))
-    hubs = crowded.join(meets, "id").groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("minus"), "id")).alias("h")).select("key", F.col("h.id").alias("hub"))
-    wanted = crowded.select("id").distinct().join(reps, "id")
-    texts = stored(rows.select(node.alias("id"), "text").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "candidates")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs that neither their total weights nor their samples rule out."""
-        two = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        two = two.join(wanted.select(F.col("id").alias("a"), F.col("weight").alias("wa"), F.col("sig").alias("sa")), "a").join(wanted.select(F.col("id").alias("b"), F.col("weight").alias("wb"), F.col("sig").alias("sb")), "b")
-        equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        return two.where((F.least("wa", "wb") >= threshold * 0.999999 * F.greatest("wa", "wb")) & (equal >= LEAST_EQUAL * bands * per_band)).select("a", "b")
-
-    links = stored(_verified(likely(crowded.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))), texts, idf, threshold).select("a", "b"), "links")
+    wanted = work.stored(meets.join(reps, "id"), "wanted")
+    signs = wanted.select("id", "weight", "sig")
+    texts = work.stored(rows.select(node.alias("id"), "text").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "candidates")
+
+    def with_hubs(left: DataFrame, hubs: DataFrame, size: int) -> DataFrame:
+        """Pairs (a, b) of members (key, id, ...) and their band's hub (key, n, hub, ...) that neither weights nor samples rule out."""
+        hubs = work.stored(hubs.join(signs.select(F.col("id").alias("hub"), F.col("weight").alias("hub_weight"), F.col("sig").alias("hub_sig")), "hub"), "band-hubs")
+        two = spread_join(left.drop("n"), hubs, ["key"], "n", size).where("id <> hub").join(signs, "id")
+        return likely(two, "id", "hub", "weight", "sig", "hub_weight", "hub_sig")
+
+    def likely(two: DataFrame, a: str, b: str, wa: str, sa: str, wb: str, sb: str) -> DataFrame:
+        equal = F.aggregate(F.zip_with(sa, sb, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        good = two.where((F.least(wa, wb) >= threshold * 0.999999 * F.greatest(wa, wb)) & (equal >= least))
+        return good.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+
+    hubs = crowded.join(wanted.select("id", "meets"), "id").groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("minus"), "id")).alias("h"), F.max("n").alias("n")).select("key", "n", F.col("h.id").alias("hub"))
+    links = work.stored(_verified(with_hubs(crowded, hubs, total), texts, idf, threshold, work), "links")
     for step in range(2):
-        labels = components(links)
-        open_bands = crowded.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        labels = components(links, work)
+        open_bands = work.stored(crowded.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "roots")
         split = open_bands.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")).where("lo <> hi")
-        split = split.groupBy("s1", "s2", "n").agg(F.min("key").alias("key"))  # bands of the same classes are one
-        left = stored(open_bands.join(split.select("key", "n"), "key"), "open-bands")
+        split = work.stored(split.groupBy("s1", "s2", "n").agg(F.min("key").alias("key")).select("key", "n", F.col("n").alias("members")), "split")  # bands of the same classes are one
+        if split.isEmpty():
+            found = False
+            break
+        left = work.stored(spread_join(open_bands, split, ["key"], "members", total), "open-bands")
         if step == 0:  # another hub for each band
-            hubs = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("x")).select("key", "x.hub", "x.hub_root")
-            pairs = left.join(hubs, "key").where("root <> hub_root").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+            again = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("x"), F.max("n").alias("n")).select("key", "n", "x.hub", "x.hub_root")
+            pairs = with_hubs(left, again, max(left.count(), 1))
         else:
             few = left.where(F.col("n") <= CROWD).select("key", "id", "root")
             other = few.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
-            pairs = few.join(other, "key").where("id < id2 and root <> root2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        more = _verified(likely(pairs), texts, idf, threshold).select("a", "b")
+            two = few.join(other, "key").where("id < id2 and root <> root2").select("id", "id2").distinct()
+            two = two.join(signs, "id").join(signs.select(F.col("id").alias("id2"), F.col("weight").alias("w2"), F.col("sig").alias("sig2")), "id2")
+            pairs = likely(two, "id", "id2", "weight", "sig", "w2", "sig2")
+        more = _verified(pairs, texts, idf, threshold, work)
         if step:
-            more = more.union(_tiled(left.where(F.col("n") > CROWD).select("key", "id", "root"), texts, idf, threshold))
-        more = stored(more, "links")
+            more = more.union(_tiled(left.where(F.col("n") > CROWD).select("key", "id", "root"), signs, texts, idf, threshold, least, work))
+        more = work.stored(more, "links")
         found = not more.isEmpty()
         if found:
             links = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more)
-    labels = components(links) if found else labels
-    member = signed.select("id", "th", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
-    return member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "th", F.coalesce("root", "rep")["id"].alias("class_id"))
+    labels = components(links, work) if found else labels
+    rooted = work.stored(classes.select("d1", "d2", "rep", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("root", "rep")["id"].alias("class_id")), "rooted")
+    return spread_join(signed.select("id", "th", "d1", "d2"), rooted, ["d1", "d2"], "copies", signed.count()).select("id", "th", "class_id")
+
+
+def _gone(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(gone_id, gone_th, class_id) of the rows that aren't the least of their group; all other tables of the call are deleted."""
+    work, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    found = groups(docs, threshold=threshold, id_col=id_col, text_col=text_col, work=work).where("id <> class_id")
+    out = kept.stored(found.groupBy(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).agg(F.min("class_id").alias("class_id")), "groups")
+    work.drop()
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (least id of its group, itself included), kept (doc_id = class_id; true without an id)."""
-    found = stored(groups(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("id <> class_id").dropDuplicates(["id", "th"]), "groups")
+    gone = _gone(docs, threshold, id_col, text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"))
-    placed = rows.join(found.withColumnRenamed("id", "doc_id"), ["doc_id", "th"], "left")
+    placed = rows.join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
     return placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("class_id").isNull().alias("kept"))
 
 
 def one_of_each(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the least of their group, with all their columns."""
-    gone = stored(groups(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("id <> class_id").select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "groups")
+    gone = _gone(docs, threshold, id_col, text_col).drop("class_id")
     return docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col("gone_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("gone_th")), "left_anti")

@@ -10,6 +10,7 @@ import pytest
 pytest.importorskip("millrace.llm")
 
 from millrace.llm import near_dup, topk, vectors  # noqa: E402
+from millrace.llm.common import Scratch  # noqa: E402
 from millrace.llm.graph import components  # noqa: E402
 
 
@@ -108,6 +109,22 @@ def test_an_id_with_different_texts_stands_for_each(spark, monkeypatch, crowd):
     assert sorted(near_dup.one_of_each(docs).collect()) == sorted([(2, near[0][0]), (5, b), (5, c)])
 
 
+def test_layout_follows_the_threshold():
+    for threshold in (0.5, 0.7, 0.8, 0.9, 1.0):
+        bands, rows, least = near_dup.layout(threshold)
+        assert 1 - (1 - threshold**rows) ** bands >= 0.997 and bands * rows <= 64 and least <= threshold * bands * rows
+    assert near_dup.layout(0.8) == (12, 4, 24)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_other_thresholds(spark, threshold):
+    texts = made_texts()
+    sim, bags = similarity(texts)
+    want = expected(list(range(len(texts))), texts, sim, bags, threshold)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold=threshold).collect()}
+    assert sum(got[i] != want[i] for i in want) <= 0.02 * len(want)
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     sampler = near_dup.Sampler(400)
@@ -147,9 +164,9 @@ def test_components(spark):
         if a is not None and a != b:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
     assert got == {x: find(x) for x in root}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
 
 
 def odd_vectors():
@@ -192,8 +209,35 @@ def test_near_vectors_against_all_pairs(spark):
     assert vectors.near_vectors(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [1.0, 0.35])
+def test_near_vectors_recall_on_planted_pairs(spark, spread):
+    """12,000 vectors of 64 dimensions, 1,500 pairs just above the threshold; with spread below 1 all share a direction."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    shared = np.zeros(64) if spread == 1.0 else 3 * np.ones(64) / 8
+    x = unit(rng.standard_normal((10_500, 64)) * (1.0 if spread == 1.0 else spread * 1.2) + shared)
+    w = rng.standard_normal((1500, 64))
+    w = unit(w - (w * x[:1500]).sum(1, keepdims=True) * x[:1500])
+    c = rng.uniform(0.9505, 0.96, (1500, 1))
+    x = np.concatenate([x, c * x[:1500] + np.sqrt(1 - c * c) * w])
+    n = (x @ x.T >= 0.95).sum(1) - 1
+    assert n[:1500].min() >= 1
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(rows).collect()}
+    assert all(got[i] <= n[i] for i in got) and sum(got.values()) >= 0.99 * n.sum()
+
+
+def test_near_vectors_with_a_repeated_id(spark):
+    rng = np.random.default_rng(13)
+    a, b = rng.standard_normal((2, 16)).tolist()
+    near = lambda v: [c + 1e-3 for c in v]
+    df = spark.createDataFrame([(5, a), (5, b), (2, near(a)), (8, near(b)), (8, near(b))], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vectors.near_vectors(df).collect()))
+    assert got == sorted([(5, 1, 2, False), (5, 2, 5, True), (2, 1, 2, True), (8, 2, 5, False), (8, 2, 5, False)])
+
+
 def test_layout_grows_with_the_logarithm():
-    widths = [vectors.layout(n, 0.95) for n in (10, 1000, 10**5, 10**9)]
+    widths = [vectors.layout(n, vectors.agreement(0.95)) for n in (10, 1000, 10**5, 10**9)]
     assert all(a[0] <= b[0] and a[1] <= b[1] for a, b in zip(widths, widths[1:])) and widths[-1][0] < 30
 
 

@@ -250,19 +250,19 @@ def test_pii_context_of_real_documents(spark):
 @pytest.mark.parametrize("heavy", [1, 1000])
 def test_pii_context_discovers(spark, monkeypatch, heavy):
     monkeypatch.setattr("millrace.llm.common.HEAVY", heavy)  # 1: every key is shuffled; 1000: those that hold much are broadcast
-    seeds = [f"please write to me under my number +1 (743) 555-38{i:02d} soon" for i in range(30)]
+    seeds = [f"please write to me under my number +1 (743) 555-38{i:02d} soon" for i in range(60)]
     tokens = ["0743/5553824", "123-456-789", "06-12-34-56-78", "AB12-34-56", "0743 555 3824", "(743) 555-3824", "743 555"]
     texts = seeds + [f"please write to me under my number {t} soon" for t in tokens] + ["in the year 20240101 there was my dog 12345678", None, "", "my" + " " * 300 + "number 4711", "x" * 400 + " my number 4712"]
-    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(30, texts[30], "z")], "doc_id long, text string, row string")
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(60, texts[60], "z")], "doc_id long, text string, row string")
     got = {r["doc_id"]: r["spans"] for r in pii.report(docs.repartition(3)).collect()}
     at = len("please write to me under my number ")
-    assert [got[30 + i] for i in range(7)] == [f"context:{at}:{at + len(t)}" for t in tokens]
-    assert [got[37 + i] for i in range(3)] == ["", "", ""] and got[40] == "context:309:313" and got[41] == "context:411:415"
+    assert [got[60 + i] for i in range(7)] == [f"context:{at}:{at + len(t)}" for t in tokens]
+    assert [got[67 + i] for i in range(3)] == ["", "", ""] and got[70] == "context:309:313" and got[71] == "context:411:415"
     found = pii.masked(docs)
     assert found.columns == docs.columns
     clean = {r["doc_id"]: r["text"] for r in found.collect()}
-    assert [clean[30 + i] for i in range(7)] == ["please write to me under my number [CONTEXT] soon"] * 7
-    assert clean[0] == seeds[0].replace("+1 (743) 555-3800", "[PHONE]") and clean[38] is None and clean[37] == texts[37]
+    assert [clean[60 + i] for i in range(7)] == ["please write to me under my number [CONTEXT] soon"] * 7
+    assert clean[0] == seeds[0].replace("+1 (743) 555-3800", "[PHONE]") and clean[68] is None and clean[67] == texts[67]
     assert pii.masked(docs.where("false")).count() == 0
 
 
