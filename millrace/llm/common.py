@@ -84,6 +84,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, tot
     heavy = right.where(is_heavy).drop(rows)
     if heavy.isEmpty():
         return left.join(right.drop(rows), on, how)
+    if how == "inner" and right.where(~is_heavy).isEmpty():
+        return left.join(F.broadcast(heavy), on)
     mark = free_name(left, "is_heavy")
     marked = left.join(F.broadcast(heavy.select(*on, F.lit(True).alias(mark))), on, "left")
     hot = marked.where(F.col(mark)).drop(mark).join(F.broadcast(heavy), on, "inner")

@@ -24,7 +24,7 @@ MAX_REPEATS = 2.0
 
 def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, max_repeats=MAX_REPEATS).drop("text")
+    return mixing.mix(docs, max_repeats=MAX_REPEATS, drop=("text",))
 
 
 def op2_itq_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

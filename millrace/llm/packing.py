@@ -1,9 +1,10 @@
 """Concatenate and cut: documents end to end, cut into windows of a fixed number of tokens.
 
 Pass 1 encodes each document once, where its rows are read, and notes the tokens
-before it in its partition. Prefix sums over the partitions' totals (one row each)
-give every partition its place in the whole. Pass 2 cuts each document where the
-windows of the whole end; nothing is shuffled.
+before it in its partition (with ``file_order``: in its stretch of a file). Prefix sums
+over these totals (one row each) give every partition its place in the whole, or every
+stretch: then documents stand in the order of files by name and of rows in them. Pass 2
+cuts each document where the windows of the whole end; nothing is shuffled.
 
 Null texts count as empty; each document has at least its end token. Repeated rows
 and ids are documents of their own. Null ids stay null. An empty table gives no rows.
@@ -29,40 +30,47 @@ from .encoding import encoder
 STEP = 512
 
 
-def encoded(docs: DataFrame, *, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, before, doc_id, n_tokens, ids): ids as little-endian uint32; ``before`` counts the partition's tokens before the row."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+def encoded(docs: DataFrame, *, tokenizer: str, end_id: int | None = 1, file_order: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(part, file, at, before, doc_id, n_tokens, ids): ids as little-endian uint32; ``before`` counts the tokens before the row in its partition or, with ``file_order``, in its stretch of a file from ``at`` on."""
+    place = (F.input_file_name(), F.input_file_block_start()) if file_order else (F.lit(""), F.lit(0).cast("long"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), place[0].alias("file"), place[1].alias("at"))
     tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, before, enc, unit = TaskContext.get().partitionId(), 0, encoder(tokenizer), None
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 some = batch.slice(at, STEP)
                 ids = [x + tail for x in enc.ids(some.column(1).to_pylist())]
                 n = np.asarray([len(x) // 4 for x in ids], "i8")
-                starts = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, "i4")), pa.array(starts), some.column(0), pa.array(n), pa.array(ids, pa.binary())], ["part", "before", "doc_id", "n_tokens", "ids"])
+                starts = np.empty(len(n), "i8")
+                for i, own in enumerate(zip(some.column(2).to_pylist(), some.column(3).to_pylist())):
+                    if own != unit:
+                        unit, before = own, 0
+                    starts[i] = before
+                    before += int(n[i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, "i4")), some.column(2), some.column(3), pa.array(starts), some.column(0), pa.array(n), pa.array(ids, pa.binary())], ["part", "file", "at", "before", "doc_id", "n_tokens", "ids"])
 
     kind = rows.schema["doc_id"].dataType
-    return rows.mapInArrow(run, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("at", T.LongType()), T.StructField("before", T.LongType()), T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
 
 
-def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, with_ids: bool = False, file_order: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document: its place in the document and in its sequence.
 
     ``boundary`` marks pieces of sequences that reach over the ends of a partition of pass 1;
     ``padded_length`` is the capacity, or the sequence's own length if that is a power of two.
+    With ``file_order``, which needs ``docs`` to be read from files, sequences follow the files' order.
     """
     spark = docs.sparkSession
-    table = stored(encoded(docs, tokenizer=tokenizer, end_id=end_id, id_col=id_col, text_col=text_col), "encoded")
-    totals = sorted((r["part"], r["n"]) for r in table.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # one row for each partition that was read
+    table = stored(encoded(docs, tokenizer=tokenizer, end_id=end_id, file_order=file_order, id_col=id_col, text_col=text_col), "encoded")
+    unit = ["part", "file", "at"]
+    totals = sorted((r["file"], r["at"], r["part"], r["n"]) for r in table.groupBy(*unit).agg(F.sum("n_tokens").alias("n")).collect())  # one row for each stretch that was read
     bases, whole = [], 0
-    for part, n in totals:
-        bases.append((part, whole, n))
+    for file, at, part, n in totals:
+        bases.append((part, file, at, whole, n))
         whole += n
-    bases_df = F.broadcast(spark.createDataFrame(bases, "part int, base long, part_tokens long"))
+    bases_df = F.broadcast(spark.createDataFrame(bases, "part int, file string, at long, base long, part_tokens long"))
     last = whole % capacity
     kind = table.schema["doc_id"].dataType
     fields = [("doc_id", kind), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("boundary", T.BooleanType()), ("padded_length", T.LongType())]
@@ -96,7 +104,7 @@ def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end_id: int |
             out = [x if isinstance(x, pa.Array) else pa.array(x) for x in out] + [pa.array(cut, pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays(out, [x for x, _ in fields])
 
-    placed = table.join(bases_df, "part").select((F.col("base") + F.col("before")).alias("at"), "n_tokens", "base", "part_tokens", "doc_id", "ids")
+    placed = table.join(bases_df, unit).select((F.col("base") + F.col("before")).alias("at"), "n_tokens", "base", "part_tokens", "doc_id", "ids")
     return placed.mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import Scratch, spread_join
 from .encoding import encoder
 
 SCHEMA = "digest binary, n_bytes long, n_tokens long, tokenizer string"
@@ -52,11 +52,13 @@ def token_counts(docs: DataFrame, cache: str, *, tokenizer: str, limit: int = 10
     key = tokenizer_digest(tokenizer)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
-    keys = rows.select("doc_id", "digest")
+    work, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    keys = kept.stored(rows.select("doc_id", "digest"), "digests")
+    each = work.stored(keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct")
     before = cached(docs, cache, key)
     #: Of each text that the cache lacks, the row to encode.
-    misses = keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(before, "digest", "left_anti").withColumnRenamed("digest", "miss")
-    texts = rows.join(misses, (rows["doc_id"].eqNullSafe(misses["doc_id"])) & (rows["digest"] == misses["miss"]), "left_semi").select("digest", "text")
+    misses = each.join(before, "digest", "left_anti").select(F.col("first").alias("miss_id"), F.col("digest").alias("miss"))
+    texts = rows.join(misses, (rows["doc_id"].eqNullSafe(misses["miss_id"])) & (rows["digest"] == misses["miss"]), "left_semi").select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, count_only=True)
@@ -67,10 +69,10 @@ def token_counts(docs: DataFrame, cache: str, *, tokenizer: str, limit: int = 10
                 sizes = [len(x.as_buffer()) for x in strings]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array(enc.ids(strings.to_pylist()), pa.int64())], ["digest", "n_bytes", "n_tokens"])
 
-    new_path = fresh_path(docs.sparkSession, "token-counts")
-    texts.mapInArrow(run, "digest binary, n_bytes long, n_tokens long").write.parquet(new_path)
-    new = docs.sparkSession.read.schema("digest binary, n_bytes long, n_tokens long").parquet(new_path)
+    new = work.stored(texts.mapInArrow(run, "digest binary, n_bytes long, n_tokens long"), "token-counts")
     new.dropDuplicates(["digest"]).withColumn("tokenizer", F.lit(key)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     fresh = new.select("digest").distinct().withColumn("fresh", F.lit(True))
-    found = keys.join(cached(docs, cache, key).join(fresh, "digest", "left"), "digest")
+    known = kept.stored(each.select("digest", "copies").join(cached(docs, cache, key), "digest").join(fresh, "digest", "left"), "known")
+    work.drop()
+    found = spread_join(keys, known, ["digest"], "copies", keys.count())  # a digest may be that of a third of all rows
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.col("fresh").isNull().alias("hit"))

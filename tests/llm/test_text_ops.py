@@ -1,6 +1,7 @@
 """Operators on texts against brute force in Python, on whole small tables and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -293,32 +294,107 @@ def test_chat_round_trip(spark, sf):
     assert chat.formatted(rows.where("false")).count() == 0
 
 
-def test_mixing_budgets(spark):
-    rows = [(i, "w " * (1 + i % 7), "big" if i < 900 else "small" if i < 990 else None, 5) for i in range(1000)] + [(1000, None, "none", 5), (5, "w " * 6, "big", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_epoch int")
-    out = mixing.mix(docs, max_repeats=3.0, block_tokens=200)
-    assert {"mix_epoch", "mix_epoch_", "mix_order", "mix_place"} <= set(out.columns)
-    got = out.collect()
-    used = {}
-    for r in got:
-        used.setdefault((r["source"], r["doc_id"]), []).append(r["mix_epoch_"])
-    assert len(used) == 1001 and max(map(len, used.values())) <= 4  # (5 repeats as a row, not only as an epoch)
-    tokens = {}
-    for r in rows:
-        tokens[r[2]] = tokens.get(r[2], 0) + (r[1] or "").count("w")
-    a = mixing.exponent_for(tokens, max_repeats=3.0)
-    epochs = mixing.repetitions(tokens, mixing.weights_at(tokens, a), None)
-    assert abs(max(epochs.values()) - 3) < 1e-6
-    for s, n in tokens.items():
+def mixed_by_hand(rows, keys, *, budget, exponent, block_tokens):
+    """(id, epoch) of every use, by the definition: whole epochs, then the last one's blocks and rows while they fit."""
+    n, by = {}, {}
+    for at, (_, text, source, *_) in enumerate(rows):
+        n[source] = n.get(source, 0) + len((text or "").split())
+        by.setdefault(source, []).append(at)
+    whole = sum(n.values())
+    raw = {s: (x / whole) ** exponent for s, x in n.items() if x}
+    weight = {s: x / sum(raw.values()) for s, x in raw.items()}
+    budget = max(n[s] / weight[s] for s in weight) if budget is None else budget
+    out = []
+    for s, members in by.items():
+        e = budget * weight[s] / n[s] if n[s] else 1.0
+        e = round(e) if abs(e - round(e)) < 1e-9 else e
+        out += [(rows[at][0], k) for at in members for k in range(int(e))]
+        rest, blocks = round((e - int(e)) * n[s]), max(1, -(-n[s] // block_tokens))
+        placed = sorted((keys[at][int(e)], len((rows[at][1] or "").split()), at) for at in members)
+        block = [int((k % 2**64 >> 11) / 2**53 * blocks) for k, _, _ in placed]
+        full = 0
+        for b in range(blocks):
+            mine = sorted(x for x, y in zip(placed, block) if y == b)
+            held = sum(x[1] for x in mine)
+            if not rest or full + held <= rest:
+                out += [(rows[x[2]][0], int(e)) for x in mine if rest]
+                full += held
+                continue
+            for k in sorted({x[0] for x in mine}):  # rows of equal keys together
+                full += sum(x[1] for x in mine if x[0] == k)
+                if full > rest:
+                    break
+                out += [(rows[x[2]][0], int(e)) for x in mine if x[0] == k]
+            break
+    return sorted(out, key=str), n, weight, budget
+
+
+MIXED = "doc_id long, text string, source string, mix_epoch int, n string, row int"
+
+
+@pytest.mark.parametrize("budget,exponent,heavy", [(None, 0.3, 1000), (3000, 0.5, 2), (9000, 0.0, 1000), (500, 1.0, 1000)])
+def test_mixing_equals_plain_loops(spark, monkeypatch, budget, exponent, heavy):
+    monkeypatch.setattr("millrace.llm.common.HEAVY", heavy)
+    monkeypatch.setattr(mixing, "SPAN", 4)
+    rows = [(i, "w " * (1 + i % 7), "big" if i < 700 else "small" if i < 790 else None, 5, "a", 1) for i in range(800)] + [(1000, None, "none", 5, "a", 1), (5, "w " * 6, "big", 5, "a", 1), (None, "very long " * 300, "small", 5, "a", 1)]
+    docs = spark.createDataFrame(rows, MIXED)
+    hashes = docs.withColumn("h", F.xxhash64(F.lit(mixing.SEED), "source", "doc_id", "text")).select(F.array(*[F.xxhash64(F.lit(e), "h") for e in range(60)])).collect()
+    want, n, weight, budget_ = mixed_by_hand(rows, [r[0] for r in hashes], budget=budget, exponent=exponent, block_tokens=40)
+    got = mixing.mix(docs.repartition(3), budget=budget, exponent=exponent, block_tokens=40)
+    assert {"mix_epoch", "mix_epoch_", "mix_order", "mix_place", "mix_tokens", "n", "row"} <= set(got.columns)
+    got = got.collect()
+    assert sorted(((r["doc_id"], r["mix_epoch_"]) for r in got), key=str) == want
+    for s in weight:  # each source's tokens are its weight's share of the budget, up to a document
         have = sum(r["mix_tokens"] for r in got if r["source"] == s)
-        assert have <= epochs[s] * n + 1e-6 and have >= epochs[s] * n - 7
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7), max_repeats=3.0, block_tokens=200).collect()))
-    assert mixing.mix(docs.where("false"), max_repeats=3.0).count() == 0
+        assert budget_ * weight[s] - 610 <= have <= budget_ * weight[s] + 0.5
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r["source"], r["mix_epoch_"], r["mix_block"]), []).append(r["mix_order"])
+    assert all(len(set(x)) == 1 and x[0] >= 0 for x in blocks.values())
+    assert mixing.mix(docs.where("false"), budget=budget, exponent=exponent).count() == 0
+
+
+def test_mixing_order_spreads_sources(spark):
+    rows = [(i, "w " * 5, "big" if i % 4 else "small") for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), exponent=1.0, block_tokens=100).orderBy("mix_order", "mix_block", "mix_place").collect()
+    assert len(got) == 4000
+    for at in range(0, 4000, 400):  # any stretch has about the weights of the whole
+        assert 60 <= sum(r["source"] == "small" for r in got[at : at + 400]) <= 140
 
 
-def test_mixing_exponent():
+def test_mixing_exponent(spark):
+    def sources(tokens):
+        return mixing.Sources(spark.createDataFrame(list(tokens.items()), "s string, n long"))
+
     tokens = {"a": 1000, "b": 100, "c": 10, "d": 0}
-    e = mixing.exponent_for(tokens, target_entropy=1.0)
-    assert abs(mixing.entropy(mixing.weights_at(tokens, e)) - 1.0) < 1e-9
-    assert mixing.exponent_for(tokens, target_entropy=5.0) < 1e-9 and mixing.exponent_for({}, max_repeats=2) == 0.0
-    assert mixing.weights_at(tokens, 1.0)["d"] == 0
+    made = sources(tokens)
+
+    def entropy(a):
+        raw = [(n / 1110) ** a for n in tokens.values() if n]
+        return -sum(x / sum(raw) * math.log(x / sum(raw)) for x in raw)
+
+    e = mixing.exponent_for(made, target_entropy=1.0)
+    assert abs(entropy(e) - 1.0) < 1e-9
+    assert mixing.exponent_for(made, target_entropy=5.0) == 0.0 and mixing.exponent_for(made, target_entropy=0.0) == 1.0
+    assert (100.0 ** (1 - mixing.exponent_for(made, max_repeats=3.0))) == pytest.approx(3.0, abs=1e-6)  # the largest source once, the smallest three times
+    a = mixing.exponent_for(made, max_repeats=20.0, budget=2000)
+    raw = {s: (n / 1110) ** a for s, n in tokens.items() if n}
+    assert max(2000 * x / sum(raw.values()) / tokens[s] for s, x in raw.items()) == pytest.approx(20.0, abs=1e-6)
+    assert mixing.exponent_for(sources({"a": 0}), max_repeats=2.0) == 1.0 and mixing.exponent_for(made) == 1.0
+
+
+@pytest.mark.parametrize("heavy", [2, 1000])
+def test_token_counts_with_a_hot_digest(spark, tmp_path, monkeypatch, heavy):
+    monkeypatch.setattr("millrace.llm.common.HEAVY", heavy)
+    docs = spark.createDataFrame([(i, "same words" if i % 3 else f"text {i}") for i in range(300)], "doc_id long, text string").repartition(3)
+    got = token_cache.token_counts(docs, f"file://{tmp_path}/cache", tokenizer=tokenizer_path(entries.BYTE_BPE)).collect()
+    whole = library(entries.BYTE_BPE)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, len(whole("same words" if i % 3 else f"text {i}"))) for i in range(300)]
+
+
+def test_packing_in_file_order(spark, tmp_path):
+    rows = [(i * 7 % 401, f"text number {i} " * (i % 5)) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/t")
+    pieces = packing.pack(spark.read.parquet(f"{tmp_path}/t"), tokenizer=tokenizer_path(entries.WORD_BPE), capacity=64, file_order=True).collect()
+    order = [p["doc_id"] for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])) if p["start"] == 0]
+    assert order == sorted(d for d, _ in rows)
