@@ -2,6 +2,10 @@
 
 ``STAGES`` lists them; ``run`` applies them to a folder's documents, writing each stage's
 rows as a table in the shared folder. Stages but the last return the columns of documents.
+
+Every stage takes null ids, texts, languages and sources, empty and very long texts,
+repeated rows and empty tables (which give no rows), and drops columns that aren't those
+of documents, whatever their names. What becomes of such rows is said at each stage.
 """
 
 from __future__ import annotations
@@ -17,30 +21,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with some margin, under that language; learnt from those that aren't held out."""
+    """Documents whose language is told with some margin, under that language; learnt from those that aren't held out.
+
+    Null texts and those without letters go, as do narrow margins. A null id counts as not held out; a null lang teaches nothing.
+    """
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
     told = language.identify(docs.select(*COLUMNS), model, keep=COLUMNS)
     return told.where("accepted").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least id."""
-    return near_dup.one_of_each(docs).select(*COLUMNS)
+    """One document of each group of near copies: the one of least id.
+
+    Rows without an id or without words stay. Rows that repeat an id and text stand and fall together; an id with two texts stands for both.
+    """
+    return near_dup.one_of_each(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
-    return pii.masked(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """All documents, personal data replaced by its kind. Null texts stay null, and so does their number of characters."""
+    return pii.masked(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once; small sources repeated towards the target weights."""
-    return mixing.mix(docs, max_repeats=entries.MAX_REPEATS).select(*COLUMNS)
+    """Every document at least once; small sources repeated towards the target weights. Rows come in the order of the mix: files by name, and rows in them.
+
+    A null source is a source; documents without tokens come with each whole epoch of theirs.
+    """
+    mixed = mixing.mix(docs.select(*COLUMNS), max_repeats=entries.MAX_REPEATS)
+    order = ["mix_order", "mix_block", "mix_place"]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer=tokenizer_path(entries.WORD_BPE))
+    """The pieces of documents in sequences of 2048 tokens, in the order of the mix. A null or empty text is its end token."""
+    return packing.pack(docs, tokenizer=tokenizer_path(entries.WORD_BPE), file_order=True)
 
 
 STAGES = [
