@@ -338,7 +338,7 @@ def test_mixing_equals_plain_loops(spark, monkeypatch, budget, exponent, heavy):
     monkeypatch.setattr(mixing, "SPAN", 4)
     rows = [(i, "w " * (1 + i % 7), "big" if i < 700 else "small" if i < 790 else None, 5, "a", 1) for i in range(800)] + [(1000, None, "none", 5, "a", 1), (5, "w " * 6, "big", 5, "a", 1), (None, "very long " * 300, "small", 5, "a", 1)]
     docs = spark.createDataFrame(rows, MIXED)
-    hashes = docs.withColumn("h", F.xxhash64(F.lit(mixing.SEED), "source", "doc_id", "text")).select(F.array(*[F.xxhash64(F.lit(e), "h") for e in range(60)])).collect()
+    hashes = docs.withColumn("h", F.xxhash64(F.lit(mixing.SEED), "source", "doc_id", "text")).select(F.array(*[F.xxhash64(F.lit(e), "h") for e in range(120)])).collect()
     want, n, weight, budget_ = mixed_by_hand(rows, [r[0] for r in hashes], budget=budget, exponent=exponent, block_tokens=40)
     got = mixing.mix(docs.repartition(3), budget=budget, exponent=exponent, block_tokens=40)
     assert {"mix_epoch", "mix_epoch_", "mix_order", "mix_place", "mix_tokens", "n", "row"} <= set(got.columns)
