@@ -44,9 +44,9 @@ from .graph import components
 #: Most vectors that rotations are fitted on.
 SAMPLE = 20_000
 #: Wanted chance that a pair at the threshold meets; vectors that a bucket should hold; rows of a tile's side.
-REACH, BUCKET, TILE = 0.9995, 128, 1024
+REACH, BUCKET, TILE = 0.9995, 512, 1024
 #: Agreement of bits that balanced codes may cost; standard deviations beyond the mean Hamming distance of pairs at the threshold that are looked at.
-BALANCE, RADIUS = 0.01, 8
+BALANCE, RADIUS = 0.01, 5
 #: Least sample on which agreement is measured; below it planes go through the origin, where the angle alone tells it.
 MEASURED = 1000
 
