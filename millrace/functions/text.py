@@ -12,7 +12,8 @@ WORD = r"\p{L}\p{N}_"
 
 
 def normalize_arabic(c: Column) -> Column:
-    return F.translate(F.regexp_replace(c, f"[{ARABIC_MARKS}]", ""), ARABIC_FROM, ARABIC_TO)
+    """Texts without Arabic letters stay as they are."""
+    return F.when(c.rlike(r"[\x{0600}-\x{06FF}]"), F.translate(F.regexp_replace(c, f"[{ARABIC_MARKS}]", ""), ARABIC_FROM, ARABIC_TO)).otherwise(c)
 
 
 def clean_text(c: Column, *, arabic: bool = True, lower: bool = True, keep_arabic: bool = True) -> Column:
@@ -22,9 +23,11 @@ def clean_text(c: Column, *, arabic: bool = True, lower: bool = True, keep_arabi
     out = normalize_arabic(out) if arabic else out
     if not keep_arabic:
         out = F.regexp_replace(out, r"[^\x00-\x7F]+", " ")
-    for pattern in (r"https?://[^\s]+|www\.[^\s]+", rf"[@#][{WORD}]+", "[0-9٠-٩]+", rf"[^{WORD}\s\x{{0600}}-\x{{06FF}}]", r"\s+"):
-        out = F.regexp_replace(out, "(?U)" + pattern, " ")
-    return F.trim(out)
+    links, tags = r"https?://[^\s]+|www\.[^\s]+", rf"[@#][{WORD}]+"
+    out = F.when(out.contains("://") | out.contains("www."), F.regexp_replace(out, "(?U)" + links, " ")).otherwise(out)
+    out = F.when(out.contains("@") | out.contains("#"), F.regexp_replace(out, "(?U)" + tags, " ")).otherwise(out)
+    #: Digits, punctuation and white space, in one pass: any run of them is a gap.
+    return F.trim(F.regexp_replace(out, rf"(?U)[0-9٠-٩\s[^{WORD}\s\x{{0600}}-\x{{06FF}}]]+", " "))
 
 
 def tokens(c: Column, **options) -> Column:

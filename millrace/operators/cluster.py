@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .base import BaseEstimator, ClusterMixin, matrix, moments, scored, vector
 from .linear import assembled
+from .tables import cut
 
 
 def squared(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -92,28 +93,18 @@ class Birch(MiniBatchKMeans):
 def components(edges: DataFrame) -> DataFrame:
     """node, root: least node of each connected component of (a, b). Labels spread and jump until none changes; lineage is cut each round."""
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = _cut(both)
-    labels = _cut(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
+    both = cut(both)
+    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "low").alias("root"), F.col("root").alias("old"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = _cut(step.join(jump, "root", "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root"), "old"))
+        new = cut(step.join(jump, "root", "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root"), "old"))
         if not new.where("root <> old").limit(1).count():
             return new.select("node", "root")
         labels = new.select("node", "root")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder all executors share; a local one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
-
-
 class DBSCAN(BaseEstimator, ClusterMixin):
     """Rows with enough neighbours within eps (themselves counted) are cores; linked cores are a cluster, numbered by least row id; others join the first cluster that reaches them, or none (-1)."""
 
@@ -125,9 +116,9 @@ class DBSCAN(BaseEstimator, ClusterMixin):
         from .split import running_count
 
         rows = df.select(F.col(f"`{id_col}`").alias("id"), vector(features).alias("v"))
-        near = _cut(within(rows, self.eps, self.metric).select("id", "other"))
+        near = cut(within(rows, self.eps, self.metric).select("id", "other"))
         degrees = rows.select("id").join(near.groupBy("id").agg(F.count("*").alias("k")), "id", "left").select("id", (F.coalesce("k", F.lit(0)) + 1).alias("k"))
-        core = _cut(degrees.where(F.col("k") >= self.min_samples).select("id"))
+        core = cut(degrees.where(F.col("k") >= self.min_samples).select("id"))
         links = near.join(core, "id").join(core.select(F.col("id").alias("other")), "other").select(F.col("id").alias("a"), F.col("other").alias("b"))
         comps = components(links)
         root = core.join(comps, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dates, finite, is_missing, number, numeric_columns, text_of, value
 from .base import BaseEstimator, TransformerMixin
+from .quantiles import quantiles
 
 
 def codes(df: DataFrame, column: str) -> DataFrame:
@@ -140,8 +141,8 @@ class NumericBinner(BaseEstimator, TransformerMixin):
     def fit(self, df: DataFrame, features: list[str]) -> "NumericBinner":
         steps = [i / self.n_bins for i in range(self.n_bins + 1)]
         x = {c: finite(value(df, c).cast("double")) for c in features}
-        aggs = [F.percentile(x[c], F.array(*[F.lit(s) for s in steps])).alias(c) if self.strategy == "quantile" else F.array(F.min(x[c]), F.max(x[c])).alias(c) for c in features]
-        row, self.edges_ = df.agg(*aggs).first(), {}
+        row = quantiles(df, x, steps) if self.strategy == "quantile" else df.agg(*[F.array(F.min(x[c]), F.max(x[c])).alias(c) for c in features]).first()
+        self.edges_ = {}
         for c in features:
             got = row[c]
             if not got or got[0] is None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .base import BaseEstimator, RegressorMixin, TransformerMixin, clone, matrix, moments, scored, vector
 from .decompose import RBFSampler
 from .linear import LogisticRegression, Ridge, _Classifier, _Linear, assembled, averaged_sgd, sigmoid, softmax
+from .quantiles import quantiles
 from .trees import _MlClassifier
 
 
@@ -142,7 +143,7 @@ class OneClassSVM(BaseEstimator):
         n, s, _ = moments(df, features)
         self.mean_ = s / n
         self.scale_ = np.sqrt(np.maximum(np.diag(moments(df, features, center=self.mean_)[2]) / n, 1e-12))
-        self.threshold_ = self._distance(df).agg(F.percentile("distance_", F.lit(1 - self.nu))).first()[0]
+        self.threshold_ = quantiles(self._distance(df), {"distance_": F.col("distance_")}, [1 - self.nu])["distance_"][0]
         return self
 
     def _distance(self, df):
@@ -418,7 +419,7 @@ class DummyRegressor(BaseEstimator, RegressorMixin):
     def fit(self, df, features, label):
         y = F.col(f"`{label}`").cast("double")
         self.label_ = label
-        self.constant_ = self.constant if self.strategy == "constant" else df.agg(F.avg(y) if self.strategy == "mean" else F.percentile(y, F.lit(0.5))).first()[0]
+        self.constant_ = self.constant if self.strategy == "constant" else df.agg(F.avg(y)).first()[0] if self.strategy == "mean" else (quantiles(df, {"y": y}, [0.5])["y"] or [None])[0]
         return self
 
     def predict(self, df, out="prediction"):

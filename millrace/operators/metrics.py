@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import vector
+from .quantiles import quantiles
 
 
 def _w(weight: str | None) -> Column:
@@ -179,13 +180,14 @@ def top_k_accuracy_score(df, y, probas, classes, k=2):
 
 
 def regression_df(df, y, p, weight=None) -> DataFrame:
-    """mse, rmse, mae, medae, max_error, r2, explained_variance, mape, msle in two passes at most."""
+    """mse, rmse, mae, medae, max_error, r2, explained_variance, mape, msle in a few passes."""
     a, b, w = _c(y).cast("double"), _c(p).cast("double"), _w(weight)
     d = a - b
     mean = lambda e: F.sum(w * e) / F.sum(w)
     m = df.agg(mean(a).alias("m_"), mean(d).alias("d_"))
+    half = quantiles(df, {"d": F.abs(d)}, [0.5])["d"]
     r = df.crossJoin(F.broadcast(m)).agg(
-        mean(d * d).alias("mse"), F.sqrt(mean(d * d)).alias("rmse"), mean(F.abs(d)).alias("mae"), F.percentile(F.abs(d), F.lit(0.5)).alias("medae"), F.max(F.abs(d)).alias("max_error"),
+        mean(d * d).alias("mse"), F.sqrt(mean(d * d)).alias("rmse"), mean(F.abs(d)).alias("mae"), F.lit(half and half[0]).cast("double").alias("medae"), F.max(F.abs(d)).alias("max_error"),
         F.coalesce(1 - F.try_divide(F.sum(w * d * d), F.sum(w * (a - F.col("m_")) ** 2)), F.when(F.sum(w * d * d) == 0, 1.0).otherwise(0.0)).alias("r2"),
         F.coalesce(1 - F.try_divide(F.sum(w * (d - F.col("d_")) ** 2), F.sum(w * (a - F.col("m_")) ** 2)), F.when(F.sum(w * (d - F.col("d_")) ** 2) == 0, 1.0).otherwise(0.0)).alias("explained_variance"),
         F.avg(F.when(a != 0, F.abs(d / a))).alias("mape"), F.avg((F.log1p(F.when(a >= 0, a)) - F.log1p(F.when(b >= 0, b))) ** 2).alias("msle"), F.min(F.least(a, b)).alias("least"),

@@ -8,18 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import clip, finite, is_missing, numeric_columns, value
+from ..functions.columns import clip, finite, numeric_columns, value
 from .base import BaseEstimator, TransformerMixin
+from .quantiles import mode, quantiles
 
 
 def _first_row(df: DataFrame, aggs: dict) -> dict:
     return df.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict() if aggs else {}
 
 
-def _mode(df: DataFrame, c: str):
-    return F.mode(value(df, c), deterministic=True)
-
-
 def _lit(v, df: DataFrame, c: str):
     return F.lit(v).cast(df.schema[c].dataType)
 
@@ -38,17 +35,21 @@ class DataCleaner(BaseEstimator, TransformerMixin):
 
     def fit(self, df: DataFrame) -> "DataCleaner":
         self.numeric_ = numeric_columns(df, with_bool=True)
-        aggs = {}
+        aggs, fills, halves = {}, {}, {}
         for i, c in enumerate(df.columns):
+            x = value(df, c)
             if self.missing == "most_frequent" or c not in self.numeric_ and self.missing != "constant":
-                aggs[f"f{i}"] = _mode(df, c)
+                fills[c] = mode(df, x)
+            elif self.missing == "mean":
+                aggs[f"f{i}"] = F.avg(x.cast("double"))
             elif self.missing != "constant":
-                aggs[f"f{i}"] = (F.avg if self.missing == "mean" else lambda x: F.percentile(x, F.lit(0.5)))(value(df, c).cast("double"))
-            if self.drop_constants:
-                aggs[f"d{i}"] = F.countDistinct(value(df, c)) + F.max(is_missing(df, c).cast("int"))
+                halves[c] = x
+            if self.drop_constants:  # it varies if its extremes differ, or if some values are missing and some are not
+                aggs[f"d{i}"] = F.coalesce(F.min(x) != F.max(x), F.lit(False)) | ((F.count(x) > 0) & (F.count(x) < F.count(F.lit(1))))
         got = _first_row(df, aggs)
-        self.fill_ = {c: self.fill_value if got.get(f"f{i}") is None else got[f"f{i}"] for i, c in enumerate(df.columns)}
-        self.constant_ = [c for i, c in enumerate(df.columns) if self.drop_constants and (got[f"d{i}"] or 0) <= 1]
+        fills |= {c: q and q[0] for c, q in quantiles(df, halves, [0.5]).items()} | {c: got[f"f{i}"] for i, c in enumerate(df.columns) if f"f{i}" in got}
+        self.fill_ = {c: self.fill_value if fills.get(c) is None else fills[c] for c in df.columns}
+        self.constant_ = [c for i, c in enumerate(df.columns) if self.drop_constants and not got[f"d{i}"]]
         self.bounds_ = {}
         if self.outlier_clip in ("zscore", "iqr"):
             filled, aggs = self._filled(df), {}
@@ -56,9 +57,7 @@ class DataCleaner(BaseEstimator, TransformerMixin):
                 x = F.col(f"`{c}`").cast("double")
                 if self.outlier_clip == "zscore":
                     aggs[f"m{i}"], aggs[f"s{i}"] = F.avg(x), F.stddev_pop(x)
-                else:
-                    aggs[f"q{i}"] = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-            got = _first_row(filled, aggs)
+            got = _first_row(filled, aggs) if aggs else {f"q{i}": q for i, q in enumerate(quantiles(filled, {c: F.col(f"`{c}`") for c in self.numeric_}, [0.25, 0.75]).values())}
             for i, c in enumerate(self.numeric_):
                 if self.outlier_clip == "zscore" and got[f"m{i}"] is not None:
                     half = self.z_thresh * (got[f"s{i}"] or 1.0)
@@ -103,11 +102,16 @@ class SimpleImputer(BaseEstimator, TransformerMixin):
         return v if self.missing_values is None else F.when(v != F.lit(self.missing_values), v)
 
     def fit(self, df: DataFrame, features: list[str]) -> "SimpleImputer":
-        how = {"mean": lambda x: F.avg(x), "median": lambda x: F.percentile(x, F.lit(0.5)), "most_frequent": lambda x: F.mode(x, deterministic=True)}
         if self.strategy == "constant":
             self.statistics_ = {c: self.fill_value for c in features}
         else:
-            got = _first_row(df, {c: how[self.strategy](self._seen(df, c)) for c in features})
+            seen = {c: self._seen(df, c) for c in features}
+            if self.strategy == "mean":
+                got = _first_row(df, {c: F.avg(x) for c, x in seen.items()})
+            elif self.strategy == "median":
+                got = {c: q and q[0] for c, q in quantiles(df, seen, [0.5]).items()}
+            else:
+                got = {c: mode(df, x) for c, x in seen.items()}
             self.statistics_ = {c: 0 if v is None else v for c, v in got.items()}
         return self
 
@@ -179,12 +183,14 @@ class RobustScaler(_Scaler):
     def __init__(self, with_centering=True, with_scaling=True, quantile_range=(25.0, 75.0)):
         self.with_centering, self.with_scaling, self.quantile_range = with_centering, with_scaling, quantile_range
 
-    def _stats(self, x):
-        return {"q": F.percentile(x, F.array(F.lit(0.5), *[F.lit(q / 100) for q in self.quantile_range]))}
-
-    def _rule(self, s):
-        mid, lo, hi = s["q"] or (0.0, 0.0, 1.0)
-        return mid if self.with_centering else 0.0, ((hi - lo) or 1.0) if self.with_scaling else 1.0
+    def fit(self, df: DataFrame, features: list[str]):
+        self.features_, self.shift_, self.scale_ = list(features), {}, {}
+        found = quantiles(df, {c: value(df, c).cast("double") for c in features}, [0.5, *[q / 100 for q in self.quantile_range]])
+        for c in features:
+            mid, lo, hi = found[c] or (0.0, 0.0, 1.0)
+            self.shift_[c] = mid if self.with_centering else 0.0
+            self.scale_[c] = ((hi - lo) or 1.0) if self.with_scaling else 1.0
+        return self
 
 
 class Normalizer(BaseEstimator, TransformerMixin):

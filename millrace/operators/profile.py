@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_missing, numeric_columns, value
+from .quantiles import quantiles
 
 
 def unpivot(row: DataFrame, names: list[str], stats: list[str]) -> DataFrame:
@@ -29,9 +30,11 @@ def missing_report(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, count, mean, std (sample), min, max, median (exact) of what is not missing."""
     names = columns or numeric_columns(df)
-    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5))}
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     aggs = [(f(value(df, c)) if s == "count" else f(value(df, c)).cast("double")).alias(f"{s}|{c}") for c in names for s, f in stats.items()]
-    return unpivot(df.agg(*aggs), names, list(stats))
+    medians = quantiles(df, {c: value(df, c) for c in names}, [0.5])
+    one = df.agg(*aggs).withColumns({f"median|{c}": F.lit(medians[c] and medians[c][0]).cast("double") for c in names})
+    return unpivot(one, names, [*stats, "median"])
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -97,11 +100,13 @@ def outlier_report(df: DataFrame, columns: list[str] | None = None, method: str
         bounds = df.agg(*[f(value(df, c).cast("double")).alias(f"{s}|{c}") for c in names for s, f in (("m", F.avg), ("d", F.stddev_pop))])
         out = {c: F.abs((value(df, c) - F.col(f"`m|{c}`")) / F.when(F.col(f"`d|{c}`") == 0, 1.0).otherwise(F.col(f"`d|{c}`"))) > thresh for c in names}
     else:
-        bounds = df.agg(*[F.percentile(value(df, c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q|{c}") for c in names])
-        q = lambda c, i: F.col(f"`q|{c}`")[i]
+        found = quantiles(df, {c: value(df, c) for c in names}, [0.25, 0.75])
+        q = lambda c, i: F.lit(found[c] and found[c][i]).cast("double")
         span = lambda c: thresh * (q(c, 1) - q(c, 0))
         out = {c: (value(df, c) < q(c, 0) - span(c)) | (value(df, c) > q(c, 1) + span(c)) for c in names}
-    both = df.select(*[F.col(f"`{c}`") for c in names]).crossJoin(F.broadcast(bounds))  # one row
+    both = df.select(*[F.col(f"`{c}`") for c in names])
+    if method == "zscore":
+        both = both.crossJoin(F.broadcast(bounds))  # one row
     return unpivot(both.agg(*[F.coalesce(F.sum(F.coalesce(x, F.lit(False)).cast("long")), F.lit(0)).alias(f"n_outliers|{c}") for c, x in out.items()]), names, ["n_outliers"])
 
 

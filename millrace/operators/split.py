@@ -6,20 +6,46 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Sampled keys for each stretch of the order; rows from which on there are several stretches.
+SAMPLED, SPLIT_FROM = 60, 20_000
+
+
+def _stretches(df: DataFrame, keys: list[str]) -> tuple[int, list]:
+    """(how many stretches of the order there are, the least keys of all but the first), from a bounded sample."""
+    n, parts = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n < SPLIT_FROM or parts < 2:
+        return 1, []
+    share = min(1.0, 2.0 * SAMPLED * parts / n)
+    found = df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k")).sample(share, 11).orderBy("k").collect()
+    cuts = [found[len(found) * i // parts]["k"] for i in range(1, parts)] if found else []
+    return len(cuts) + 1, [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
 
 
 def running_count(df: DataFrame, order: str | Sequence[str], n: str | None = None) -> DataFrame:
     """Add ``before``: the rows (or the sum of ``n``) before a row in the order.
 
-    Rows are sorted over many partitions; sums of partitions, one row each, give every
-    partition its start. No window holds the whole table.
+    The order is cut into stretches at fixed keys, sampled once, so all steps see the same
+    ones. Rows are sorted in their stretches; sums of stretches, one row each, give each its
+    start. No window holds the whole table, and rows move once.
     """
     keys = [order] if isinstance(order, str) else list(order)
-    spark = df.sparkSession
     size = F.col(n) if n else F.lit(1)
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).withColumn("part_", F.spark_partition_id())
-    inside = ranged.withColumn("in_", F.sum(size).over(Window.partitionBy("part_").orderBy(*keys, F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, -1)))
-    sums = ranged.groupBy("part_").agg(F.sum(size).alias("n_"))
+    _, cuts = _stretches(df, keys)
+    key = F.struct(*[F.col(f"`{k}`") for k in keys])
+    if cuts:
+        spark, kind = df.sparkSession, df.select(key.alias("k")).schema["k"].dataType
+        held = spark.createDataFrame([(cuts,)], T.StructType([T.StructField("cuts_", T.ArrayType(kind))]))
+        steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+        part = F.aggregate(steps, F.lit(0), lambda lo, s: F.when(lo + s <= len(cuts), F.when(F.get("cuts_", lo + s - 1) <= key, lo + s).otherwise(lo)).otherwise(lo))
+        marked = df.crossJoin(F.broadcast(held)).withColumn("part_", part).drop("cuts_")  # one row
+    else:
+        marked = df.withColumn("part_", F.lit(0))
+    w = Window.partitionBy("part_").orderBy(*keys, F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = marked.withColumn("in_", F.sum(size).over(w))
+    sums = marked.groupBy("part_").agg(F.sum(size).alias("n_"))
     starts = sums.withColumn("start_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part_", "start_")
     return inside.join(F.broadcast(starts), "part_").withColumn("before", F.col("start_") + F.coalesce("in_", F.lit(0))).drop("part_", "in_", "start_")
 

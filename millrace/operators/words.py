@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, tokens
 from .base import BaseEstimator, ClassifierMixin, TransformerMixin
+from .tables import cut
 
 
 class CountVectorizer(BaseEstimator, TransformerMixin):
@@ -22,7 +23,9 @@ class CountVectorizer(BaseEstimator, TransformerMixin):
 
     def document_frequencies(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """term, df of the vocabulary."""
-        return self.terms(df, id_col, text_col).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.min_df).orderBy(F.desc("df"), "term").limit(self.max_features)
+        grams = ngrams(tokens(F.col(f"`{text_col}`"), arabic=self.arabic_norm), *self.ngram_range)
+        each = df.select(F.explode(F.array_distinct(grams)).alias("term"))  # a row is a text: its terms count once before anything moves
+        return each.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.min_df).orderBy(F.desc("df"), "term").limit(self.max_features)
 
     def fit(self, df: DataFrame, id_col: str, text_col: str) -> "CountVectorizer":
         self.id_, self.text_ = id_col, text_col
@@ -35,7 +38,9 @@ class CountVectorizer(BaseEstimator, TransformerMixin):
     def transform(self, df: DataFrame) -> DataFrame:
         """id, index, term, value."""
         self._check_fitted()
-        return self.terms(df, self.id_, self.text_).join(self._vocabulary(df), "term").select("id", "index", "term", F.col("tf").cast("double").alias("value"))
+        grams = ngrams(tokens(F.col(f"`{self.text_}`"), arabic=self.arabic_norm), *self.ngram_range)
+        known = df.select(F.col(f"`{self.id_}`").alias("id"), F.explode(grams).alias("term")).join(self._vocabulary(df), "term")
+        return known.groupBy("id", "index", "term").agg(F.count("*").cast("double").alias("value"))
 
     def get_feature_names_out(self) -> list[str]:
         return list(self.vocabulary_)
@@ -46,7 +51,7 @@ class TfidfVectorizer(CountVectorizer):
 
     def transform(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
-        tf = super().transform(df)
+        tf = cut(super().transform(df))  # read four times; at most max_features rows for each text
         dfs = tf.groupBy("term").agg(F.count("*").alias("df"))
         n = df.select(self.id_).count()
         w = tf.join(F.broadcast(dfs), "term").withColumn("value", F.log1p("value") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
