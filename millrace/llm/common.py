@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Parts of a table that a key may hold before its rows are spread: keys with more than 1/HEAVY of the rows, so at most HEAVY of them.
 HEAVY = 1000
+#: Rows of a key that no task minds.
+FEW = 250
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,21 +78,24 @@ class Scratch:
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key and in ``rows`` how many rows of ``left`` have it.
 
-    Keys with more than 1/HEAVY of the ``total`` rows are at most HEAVY: their rows stay where they
-    are and meet a broadcast of so many rows. All others are shuffled; none of them is hot.
-    ``how`` is inner or left; ``right`` must be stored, since it is read twice. Null keys join nothing.
+    Keys with more than 1/HEAVY of the ``total`` rows (and FEW at least) are at most HEAVY: their
+    rows stay where they are and meet a broadcast of so many rows. All others are shuffled; none
+    of them is hot. Keys are told by hash, on both sides alike. ``how`` is inner or left; null
+    keys join nothing.
     """
-    is_heavy = F.col(rows) > max(total // HEAVY, 1)
-    heavy = right.where(is_heavy).drop(rows)
-    if heavy.isEmpty():
-        return left.join(right.drop(rows), on, how)
-    if how == "inner" and right.where(~is_heavy).isEmpty():
-        return left.join(F.broadcast(heavy), on)
-    mark = free_name(left, "is_heavy")
-    marked = left.join(F.broadcast(heavy.select(*on, F.lit(True).alias(mark))), on, "left")
-    hot = marked.where(F.col(mark)).drop(mark).join(F.broadcast(heavy), on, "inner")
-    rest = marked.where(F.col(mark).isNull()).drop(mark).join(right.where(~is_heavy).drop(rows), on, how)
-    return hot.unionByName(rest)
+    most = max(total // HEAVY, FEW)
+    out = right.drop(rows)
+    if total <= most:
+        return left.join(out, on, how)
+    mark = F.xxhash64(*on)
+    found = right.where(F.col(rows) > most).select(mark, rows).collect()  # at most HEAVY
+    if not found:
+        return left.join(out, on, how)
+    is_heavy = mark.isin([r[0] for r in found])
+    if how == "inner" and sum(r[1] for r in found) == total:
+        return left.join(F.broadcast(out.where(is_heavy)), on)
+    hot = left.where(is_heavy).join(F.broadcast(out.where(is_heavy)), on, how)
+    return hot.unionByName(left.where(~is_heavy).join(out.where(~is_heavy), on, how))
 
 
 def own_columns(df: DataFrame, *names: str, prefix: str = "x_") -> DataFrame:

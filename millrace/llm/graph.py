@@ -22,7 +22,7 @@ def components(links: DataFrame, work: Scratch) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     def least(df: DataFrame) -> DataFrame:
-        return steps.stored(df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")), "least")
+        return df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
 
     now = work.stored(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     sign = signature(now)

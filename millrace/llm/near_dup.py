@@ -350,7 +350,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
     """Of pairs (a, b), those whose weighted Jaccard similarity reaches the threshold. A hub b may be in any number of pairs: they are dealt in blocks, and its text is read once for each block."""
     held = pairs.sparkSession.sparkContext.broadcast(idf)
     pairs = work.stored(pairs.select("a", "b"), "pairs")
-    hubs = work.stored(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / HUB_PAIRS).cast("int")), "hubs")
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / HUB_PAIRS).cast("int"))
     dealt = spread_join(pairs, hubs, ["b"], "n", pairs.count()).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).drop("blocks")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = hubs.select("b", "blocks").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))

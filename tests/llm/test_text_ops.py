@@ -250,6 +250,7 @@ def test_pii_context_of_real_documents(spark):
 
 @pytest.mark.parametrize("heavy", [1, 1000])
 def test_pii_context_discovers(spark, monkeypatch, heavy):
+    monkeypatch.setattr("millrace.llm.common.FEW", 1)
     monkeypatch.setattr("millrace.llm.common.HEAVY", heavy)  # 1: every key is shuffled; 1000: those that hold much are broadcast
     seeds = [f"please write to me under my number +1 (743) 555-38{i:02d} soon" for i in range(60)]
     tokens = ["0743/5553824", "123-456-789", "06-12-34-56-78", "AB12-34-56", "0743 555 3824", "(743) 555-3824", "743 555"]
@@ -334,6 +335,7 @@ MIXED = "doc_id long, text string, source string, mix_epoch int, n string, row i
 
 @pytest.mark.parametrize("budget,exponent,heavy", [(None, 0.3, 1000), (3000, 0.5, 2), (9000, 0.0, 1000), (500, 1.0, 1000)])
 def test_mixing_equals_plain_loops(spark, monkeypatch, budget, exponent, heavy):
+    monkeypatch.setattr("millrace.llm.common.FEW", 1)
     monkeypatch.setattr("millrace.llm.common.HEAVY", heavy)
     monkeypatch.setattr(mixing, "SPAN", 4)
     rows = [(i, "w " * (1 + i % 7), "big" if i < 700 else "small" if i < 790 else None, 5, "a", 1) for i in range(800)] + [(1000, None, "none", 5, "a", 1), (5, "w " * 6, "big", 5, "a", 1), (None, "very long " * 300, "small", 5, "a", 1)]
@@ -385,6 +387,7 @@ def test_mixing_exponent(spark):
 
 @pytest.mark.parametrize("heavy", [2, 1000])
 def test_token_counts_with_a_hot_digest(spark, tmp_path, monkeypatch, heavy):
+    monkeypatch.setattr("millrace.llm.common.FEW", 1)
     monkeypatch.setattr("millrace.llm.common.HEAVY", heavy)
     docs = spark.createDataFrame([(i, "same words" if i % 3 else f"text {i}") for i in range(300)], "doc_id long, text string").repartition(3)
     got = token_cache.token_counts(docs, f"file://{tmp_path}/cache", tokenizer=tokenizer_path(entries.BYTE_BPE)).collect()
