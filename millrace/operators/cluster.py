@@ -134,12 +134,19 @@ class DBSCAN(BaseEstimator, ClusterMixin):
 
 
 class OPTICS(DBSCAN):
-    """DBSCAN at the largest distance."""
+    """DBSCAN at the largest distance. Where that spans the whole table, all rows are neighbours and one aggregation tells the answer."""
 
     def __init__(self, max_eps=1e12, min_samples=5, metric="euclidean"):
         super().__init__(max_eps, min_samples, metric)
         self.max_eps = max_eps
 
+    def fit_predict(self, df: DataFrame, features, id_col: str, out: str = "cluster") -> DataFrame:
+        sides = df.select(F.posexplode(vector(features)).alias("i", "x")).groupBy("i").agg((F.max("x") - F.min("x")).alias("side"))
+        span = sides.agg(F.coalesce(F.sum("side"), F.lit(0.0))).first()[0]  # no distance of the usual metrics is larger
+        if self.metric != "cosine" and span <= self.max_eps:
+            return df.withColumn(out, F.lit(0 if df.count() >= self.min_samples else -1))
+        return super().fit_predict(df, features, id_col, out)
+
 
 class AgglomerativeClustering(BaseEstimator, ClusterMixin):
     """Merges of the two nearest clusters. Needs all distances, so rows are bounded by ``max_rows``."""

@@ -123,7 +123,10 @@ class GradientBoostingRegressor(_BoostOptions, _MlRegressor):
     _kind = "GBTRegressor"
 
     def _options(self):
-        return super()._options() | {"lossType": {"absolute_error": "absolute", "huber": "absolute"}.get(self.loss, "squared")}
+        losses = {None: "squared", "squared_error": "squared", "squared": "squared", "absolute_error": "absolute", "absolute": "absolute"}
+        if self.loss not in losses:
+            raise ValueError(f"loss {self.loss!r}: choose squared_error or absolute_error")
+        return super()._options() | {"lossType": losses[self.loss]}
 
 
 class GradientBoostingClassifier(_BoostOptions, _MlClassifier):
@@ -152,11 +155,11 @@ class GradientBoostingClassifier(_BoostOptions, _MlClassifier):
 
 
 class HistGradientBoostingClassifier(GradientBoostingClassifier):
-    pass
+    """Another name: boosting is over histograms here in any case."""
 
 
 class HistGradientBoostingRegressor(GradientBoostingRegressor):
-    pass
+    """Another name: boosting is over histograms here in any case."""
 
 
 class _Members(BaseEstimator):
