@@ -391,10 +391,10 @@ def groups(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", t
     signs = wanted.select("id", "weight", "sig")
     texts = work.stored(rows.select(node.alias("id"), "text").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "candidates")
 
-    def with_hubs(left: DataFrame, hubs: DataFrame, size: int) -> DataFrame:
+    def with_hubs(left: DataFrame, hubs: DataFrame, size: int, differ: str) -> DataFrame:
         """Pairs (a, b) of members (key, id, ...) and their band's hub (key, n, hub, ...) that neither weights nor samples rule out."""
         hubs = work.stored(hubs.join(signs.select(F.col("id").alias("hub"), F.col("weight").alias("hub_weight"), F.col("sig").alias("hub_sig")), "hub"), "band-hubs")
-        two = spread_join(left.drop("n"), hubs, ["key"], "n", size).where("id <> hub").join(signs, "id")
+        two = spread_join(left.drop("n"), hubs, ["key"], "n", size).where(differ).join(signs, "id")
         return likely(two, "id", "hub", "weight", "sig", "hub_weight", "hub_sig")
 
     def likely(two: DataFrame, a: str, b: str, wa: str, sa: str, wb: str, sb: str) -> DataFrame:
@@ -403,19 +403,19 @@ def groups(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", t
         return good.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
 
     hubs = crowded.join(wanted.select("id", "meets"), "id").groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("minus"), "id")).alias("h"), F.max("n").alias("n")).select("key", "n", F.col("h.id").alias("hub"))
-    links = work.stored(_verified(with_hubs(crowded, hubs, total), texts, idf, threshold, work), "links")
+    links = work.stored(_verified(with_hubs(crowded, hubs, total, "id <> hub"), texts, idf, threshold, work), "links")
+    labels, found = components(links, work), True
     for step in range(2):
-        labels = components(links, work)
-        open_bands = work.stored(crowded.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "roots")
-        split = open_bands.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")).where("lo <> hi")
-        split = work.stored(split.groupBy("s1", "s2", "n").agg(F.min("key").alias("key")).select("key", "n", F.col("n").alias("members")), "split")  # bands of the same classes are one
-        if split.isEmpty():
-            found = False
-            break
-        left = work.stored(spread_join(open_bands, split, ["key"], "members", total), "open-bands")
+        if found:  # else the bands that are open are those of the step before
+            open_bands = work.stored(crowded.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "roots")
+            split = open_bands.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")).where("lo <> hi")
+            split = work.stored(split.groupBy("s1", "s2", "n").agg(F.min("key").alias("key")).select("key", "n", F.col("n").alias("members")), "split")  # bands of the same classes are one
+            if split.isEmpty():
+                break
+            left = work.stored(spread_join(open_bands, split, ["key"], "members", total), "open-bands")
         if step == 0:  # another hub for each band
             again = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("x"), F.max("n").alias("n")).select("key", "n", "x.hub", "x.hub_root")
-            pairs = with_hubs(left, again, max(left.count(), 1))
+            pairs = with_hubs(left, again, left.count(), "root <> hub_root")
         else:
             few = left.where(F.col("n") <= CROWD).select("key", "id", "root")
             other = few.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
@@ -428,8 +428,7 @@ def groups(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", t
         more = work.stored(more, "links")
         found = not more.isEmpty()
         if found:
-            links = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more)
-    labels = components(links, work) if found else labels
+            labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more), work)
     rooted = work.stored(classes.select("d1", "d2", "rep", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("root", "rep")["id"].alias("class_id")), "rooted")
     return spread_join(signed.select("id", "th", "d1", "d2"), rooted, ["d1", "d2"], "copies", signed.count()).select("id", "th", "class_id")
 
