@@ -54,7 +54,7 @@ def elastic_net_1d(spark, sf):
     return line(spark, linear.ElasticNet(100.0, 0.5).fit(lines(spark, sf), [X], Y))
 
 
-@query(f"SELECT round(regr_sxy({Y}, {X}), 0) AS sxy FROM {LINES}")
+@query(f"SELECT round(regr_sxy({Y}, {X}) / count(*), 2) AS sxy FROM {LINES}")
 def bayesian_ridge_fixed_point(spark, sf):
     """At the end of the iteration slope x (lambda / alpha + Sxx) is Sxy."""
     df = lines(spark, sf)
@@ -209,13 +209,13 @@ _stump_regressor("tree_regressor_stump", lambda: trees.DecisionTreeRegressor(1),
 _stump_regressor("forest_regressor_stump", lambda: trees.RandomForestRegressor(3, 1, bootstrap=False), X)
 _stump_regressor("extra_tree_regressor_stump", lambda: trees.ExtraTreeRegressor(1), "fives")
 _stump_regressor("extra_trees_regressor_stump", lambda: trees.ExtraTreesRegressor(3, 1, bootstrap=False), "fives")
-_stump_regressor("boosting_regressor_stump", lambda: trees.GradientBoostingRegressor(1, 1.0, 1), X)
-_stump_regressor("hist_boosting_regressor_stump", lambda: trees.HistGradientBoostingRegressor(1, 1.0, 1), X)
+_stump_regressor("boosting_regressor_stump", lambda: trees.GradientBoostingRegressor(1, 1.0, 1), "fives")
+_stump_regressor("hist_boosting_regressor_stump", lambda: trees.HistGradientBoostingRegressor(1, 1.0, 1), "fives")
 _stump_classifier("tree_classifier_stump", lambda: trees.DecisionTreeClassifier(1), X)
 _stump_classifier("forest_classifier_stump", lambda: trees.RandomForestClassifier(3, 1, bootstrap=False), X)
 _stump_classifier("extra_tree_classifier_stump", lambda: trees.ExtraTreeClassifier(1), "fives")
 _stump_classifier("extra_trees_classifier_stump", lambda: trees.ExtraTreesClassifier(3, 1), "fives")
-_stump_classifier("boosting_classifier_stump", lambda: trees.GradientBoostingClassifier(1, 1.0, 1), X, "1 / (1 + exp(-2 * (2 * v - 1)))")
+_stump_classifier("boosting_classifier_stump", lambda: trees.GradientBoostingClassifier(1, 1.0, 1), "fives", "1 / (1 + exp(-2 * (2 * v - 1)))")
 
 
 @query(stump(X, f"{DEAR}::INT", "(v > 0.5)::INT AS prediction"))
