@@ -296,7 +296,7 @@ def probability_losses(spark, sf):
     return one(spark, "log_loss double, brier double, hinge double", *[round(float(x), 6) for x in got])
 
 
-@query("WITH x AS (SELECT label % 3 AS y, [(vec_id * 7) % 11, (vec_id * 5) % 13 + 0.5, (vec_id * 3) % 17 + 0.25] AS p FROM embeddings) SELECT round(avg((len(list_filter(p, v -> v > p[y + 1])) < 2)::INT), 6) AS top2 FROM x")
+@query("WITH x AS (SELECT label % 3 AS y, [(vec_id * 7) % 11, (vec_id * 5) % 13 + 0.5, (vec_id * 3) % 17 + 0.25] AS p FROM embeddings) SELECT round(avg((len(list_filter(p, lambda v: v > p[y + 1])) < 2)::INT), 6) AS top2 FROM x")
 def top_two_accuracy(spark, sf):
     e = t(spark, sf, "embeddings").select((F.col("label") % 3).alias("y"), (F.col("vec_id") * 7 % 11).cast("double").alias("p0"), (F.col("vec_id") * 5 % 13 + 0.5).alias("p1"), (F.col("vec_id") * 3 % 17 + 0.25).alias("p2"))
     return one(spark, "top2 double", round(metrics.top_k_accuracy_score(e, "y", ["p0", "p1", "p2"], [0, 1, 2], 2), 6))

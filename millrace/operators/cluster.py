@@ -33,6 +33,11 @@ class KMeans(BaseEstimator, ClusterMixin):
     def fit(self, df: DataFrame, features) -> "KMeans":
         from pyspark.ml.clustering import KMeans as Fit
 
+        if self.n_clusters == 1:  # MLlib takes two at least; one is the mean
+            n, s, _ = moments(df, features)
+            spread = moments(df, features, center=s / n)[2]
+            self.features_, self.cluster_centers_, self.inertia_ = features, (s / n)[None, :], float(np.trace(spread))
+            return self
         data = assembled(df, features).select("features_").cache()
         best = None
         for k in range(self.n_init):

@@ -85,6 +85,9 @@ class NMF(_Map):
     def fit(self, df, features):
         self.features_ = features
         data = df.select(vector(features).alias("v")).cache()
+        if (data.agg(F.min(F.array_min("v"))).first()[0] or 0) < 0:
+            data.unpersist()
+            raise ValueError("non-negative factors need values that aren't negative")
         d = len(data.first()["v"])
         h, k = np.random.default_rng(self.seed).uniform(0.1, 1, (self.n_components, d)), self.n_components
         for _ in range(self.max_iter):
@@ -200,8 +203,13 @@ class FastICA(_Map):
 
 
 def kernel(a: np.ndarray, b: np.ndarray, kind: str = "rbf", gamma: float = 1.0, degree: int = 3, coef0: float = 1.0) -> np.ndarray:
+    """``kind`` is rbf, linear, poly, sigmoid or a function of the two matrices."""
+    if callable(kind):
+        return np.asarray(kind(a, b), float)
     if kind == "rbf":
         return np.exp(-gamma * squared(a, b))
+    if kind not in ("linear", "poly", "sigmoid"):
+        raise ValueError(f"kernel {kind!r}: choose linear, poly, rbf, sigmoid or a function")
     dot = a @ b.T
     return {"linear": lambda: dot, "poly": lambda: (gamma * dot + coef0) ** degree, "sigmoid": lambda: np.tanh(gamma * dot + coef0)}[kind]()
 
@@ -224,20 +232,24 @@ class RBFSampler(_Map):
 
 
 class Nystroem(_Map):
-    """Kernel with a bounded number of landmark rows, whitened."""
+    """Kernel with a bounded number of landmark rows, whitened in the directions where it is positive."""
 
-    def __init__(self, kernel="rbf", gamma=1.0, n_components=100, seed=0):
-        self.kernel, self.gamma, self.n_components, self.seed = kernel, gamma, n_components, seed
+    def __init__(self, kernel="rbf", gamma=1.0, n_components=100, seed=0, degree=3, coef0=1.0):
+        self.kernel, self.gamma, self.n_components, self.seed, self.degree, self.coef0 = kernel, gamma, n_components, seed, degree, coef0
 
     def fit(self, df, features):
         self.features_ = features
         self.landmarks_ = matrix(df.select(vector(features).alias("v")).orderBy(F.xxhash64("v", F.lit(self.seed))).limit(self.n_components).toPandas()["v"])
-        values, basis = np.linalg.eigh(kernel(self.landmarks_, self.landmarks_, self.kernel, self.gamma))
-        self.normal_ = basis / np.sqrt(np.maximum(values, 1e-12)) @ basis.T
+        values, basis = np.linalg.eigh(self._k(self.landmarks_))
+        used = values > 1e-10 * max(values.max(initial=0.0), 1e-300)
+        self.normal_ = basis[:, used] / np.sqrt(values[used]) @ basis[:, used].T
         return self
 
+    def _k(self, x):
+        return kernel(x, self.landmarks_, self.kernel, self.gamma, self.degree, self.coef0)
+
     def _apply(self, x):
-        return kernel(x, self.landmarks_, self.kernel, self.gamma) @ self.normal_
+        return self._k(x) @ self.normal_
 
 
 class KernelPCA(_Map):

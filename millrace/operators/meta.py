@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import BaseEstimator, RegressorMixin, TransformerMixin, clone, matrix, moments, scored, vector
-from .decompose import RBFSampler
+from .decompose import Nystroem, RBFSampler
 from .linear import LogisticRegression, Ridge, _Classifier, _Linear, assembled, averaged_sgd, sigmoid, softmax
 from .quantiles import quantiles
 from .trees import _MlClassifier
@@ -79,11 +79,11 @@ class LinearSVR(_Linear):
 
 
 class SVC(LinearSVC):
-    """Linear, or a Gaussian kernel by random Fourier features."""
+    """Linear; a Gaussian kernel by random Fourier features; polynomials, sigmoids and functions of two matrices by landmark rows."""
 
-    def __init__(self, C=1.0, kernel="rbf", gamma="scale", n_components=200, max_iter=100, seed=0):
+    def __init__(self, C=1.0, kernel="rbf", gamma="scale", n_components=200, max_iter=100, seed=0, degree=3, coef0=0.0):
         super().__init__(C, max_iter)
-        self.kernel, self.gamma, self.n_components, self.seed = kernel, gamma, n_components, seed
+        self.kernel, self.gamma, self.n_components, self.seed, self.degree, self.coef0 = kernel, gamma, n_components, seed, degree, coef0
 
     def _mapped(self, df):
         return df if self.kernel == "linear" else self.map_.transform(df, "rbf_")
@@ -93,7 +93,10 @@ class SVC(LinearSVC):
         if g == "scale":
             d, v = df.select(F.size(vector(features)).alias("d"), F.explode(vector(features)).alias("x")).agg(F.first("d"), F.var_pop("x")).first()
             g = 1 / max(d * v, 1e-12)
-        self.map_ = RBFSampler(g, self.n_components, self.seed).fit(df, features)
+        if self.kernel == "rbf":
+            self.map_ = RBFSampler(g, self.n_components, self.seed).fit(df, features)
+        else:
+            self.map_ = Nystroem(self.kernel, g, self.n_components, self.seed, getattr(self, "degree", 3), getattr(self, "coef0", 0.0)).fit(df, features)
 
     def fit(self, df, features, label):
         if self.kernel != "linear":

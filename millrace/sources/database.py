@@ -61,7 +61,7 @@ class Database:
     """Tables of a Spark catalog, or those behind a JDBC address (its driver must be on the class path)."""
 
     def __init__(self, spark: SparkSession, uri: str | None = None, **options: str) -> None:
-        self.spark, self.uri, self.options = spark, uri, options
+        self.spark, self.uri, self.options, self.views = spark, uri, options, []
 
     @classmethod
     def memory(cls, spark: SparkSession) -> "Database":
@@ -84,6 +84,7 @@ class Database:
             if name.endswith(".parquet"):
                 self.spark.read.parquet(s.getPath().toString()).createOrReplaceTempView(name[:-8])
                 names.append(name[:-8])
+        self.views += names
         return sorted(names)
 
     def table(self, name: str) -> DataFrame:
@@ -94,6 +95,8 @@ class Database:
     def query(self, sql: str, params: Sequence | dict | None = None) -> DataFrame:
         """Any SQL; ``?`` and ``:name`` take parameters. Nothing runs before an action."""
         if self.uri:
+            if params:
+                raise ValueError("queries sent to a JDBC address take no parameters: filter the result, or write the values into the query")
             return self.spark.read.format("jdbc").options(url=self.uri, query=sql.rstrip("; "), **self.options).load()
         return self.spark.sql(sql, args=params) if params else self.spark.sql(sql)
 
@@ -150,10 +153,9 @@ class Database:
         return (estimator or RandomForestClassifier(n_estimators=100)).fit(df, names, target)
 
     def close(self) -> None:
-        """Drop the temporary views."""
-        for t in self.spark.catalog.listTables():
-            if t.isTemporary:
-                self.spark.catalog.dropTempView(t.name)
+        """Drop the temporary views that this database registered."""
+        while self.views:
+            self.spark.catalog.dropTempView(self.views.pop())
 
 
 def numeric_matrix(df: DataFrame, target: str | None, drop: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
