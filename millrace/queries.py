@@ -278,9 +278,9 @@ def uniform_bin(spark, sf):
     return encode.NumericBinner(5, "uniform").fit_transform(x, ["p_size"])
 
 
-@query("SELECT s_suppkey, s_acctbal AS s_acctbal, " + ", ".join(f"(s_nationkey = {k})::INT::DOUBLE AS \"n={k}\"" for k in range(3)) + " FROM supplier WHERE s_nationkey < 3")
+@query("SELECT s_suppkey, s_acctbal AS s_acctbal, " + ", ".join(f"(s_nationkey % 3 = {k})::INT::DOUBLE AS \"n={k}\"" for k in range(3)) + " FROM supplier")
 def auto_featurize(spark, sf):
-    x = t(spark, sf, "supplier").where("s_nationkey < 3").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("string").alias("n"))
+    x = t(spark, sf, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_nationkey") % 3).cast("string").alias("n"))
     out = encode.auto_featurize(x, keep=["s_suppkey"])[0]
     missing = [f"n={k}" for k in range(3) if f"n={k}" not in out.columns]
     return out.withColumns({c: F.lit(0.0) for c in missing}).select("s_suppkey", "s_acctbal", *[f"`n={k}`" for k in range(3)])
@@ -403,10 +403,10 @@ def ndcg(spark, sf):
 DIST = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: power(z[1]::DOUBLE - z[2]::DOUBLE, 2))))"
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({DIST}, 5) AS distance FROM embeddings a, embeddings b WHERE a.label = 1 AND b.label = 2")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({DIST}, 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
 def pairwise_euclidean(spark, sf):
     e = t(spark, sf, "embeddings")
-    return rounded(metrics.pairwise_distances(e.where("label = 1"), e.where("label = 2"), "embedding", "vec_id"), "distance", digits=5)
+    return rounded(metrics.pairwise_distances(e.where("vec_id % 100 = 0"), e, "embedding", "vec_id"), "distance", digits=5)
 
 
 @query(f"WITH d AS (SELECT a.vec_id AS id, a.label AS l, b.label AS o, sum({DIST}) AS t, count(*) AS n FROM embeddings a, embeddings b GROUP BY 1, 2, 3), s AS (SELECT id, sum(t / (n - 1)) FILTER (l = o) AS a, min(t / n) FILTER (l <> o) AS b FROM d GROUP BY id) SELECT id, round((b - a) / greatest(a, b), 5) AS silhouette FROM s")
@@ -490,27 +490,31 @@ def tfidf(spark, sf):
     return rounded(words.TfidfVectorizer(100).fit(d, "doc_id", "text").transform(d).drop("index"), "value")
 
 
-@query(f"WITH x AS (SELECT conv_id, turn, list_filter(string_split({clean_sql('text')}, ' '), lambda w: w <> '') AS w FROM conversations) SELECT conv_id, turn, (len(w) + greatest(len(w) - 1, 0))::INT AS n, w[1] || ' ' || w[2] AS first_pair FROM x WHERE len(w) > 1")
+@query(f"WITH x AS (SELECT conv_id, turn, list_filter(string_split({clean_sql('text')}, ' '), lambda w: w <> '') AS w FROM conversations) SELECT conv_id, turn, (len(w) + greatest(len(w) - 1, 0))::INT AS n, w[1] || ' ' || w[2] AS first_pair FROM x")
 def ngram_query(spark, sf):
-    x = t(spark, sf, "conversations").select("conv_id", "turn", tokens(F.col("text")).alias("w")).where("size(w) > 1")
+    x = t(spark, sf, "conversations").select("conv_id", "turn", tokens(F.col("text")).alias("w"))
     g = ngrams(F.col("w"), 1, 2)
-    return x.select("conv_id", "turn", F.size(g).alias("n"), g[F.size("w")].alias("first_pair"))
+    return x.select("conv_id", "turn", F.size(g).alias("n"), F.get(g, F.size("w")).alias("first_pair"))
 
 
-@query("SELECT x AS raw, translate(regexp_replace(x, '" + _marks + "', '', 'g'), 'أإآةىؤئ', 'اااهيوي') AS norm FROM (VALUES ('أإآ السلام عليكم'), ('مُحَمَّد'), ('مدرسة على'), ('شـــكرا')) v(x)")
+ARABIC = ["أإآ السلام عليكم", "مُحَمَّد", "مدرسة على", "شـــكرا"]
+
+
+@query("WITH v AS (SELECT c_custkey, [" + ", ".join(f"'{x}'" for x in ARABIC) + "][c_custkey % 4 + 1] || ' ' || c_name AS x FROM customer) SELECT c_custkey, translate(regexp_replace(x, '" + _marks + "', '', 'g'), 'أإآةىؤئ', 'اااهيوي') AS norm FROM v")
 def normalize_arabic_query(spark, sf):
-    rows = spark.createDataFrame([("أإآ السلام عليكم",), ("مُحَمَّد",), ("مدرسة على",), ("شـــكرا",)], "raw string")
-    return rows.withColumn("norm", normalize_arabic(F.col("raw")))
+    words_ = F.array(*[F.lit(x) for x in ARABIC])
+    rows = t(spark, sf, "customer").select("c_custkey", F.concat(F.get(words_, (F.col("c_custkey") % 4).cast("int")), F.lit(" "), "c_name").alias("raw"))
+    return rows.select("c_custkey", normalize_arabic(F.col("raw")).alias("norm"))
 
 
 # --- models whose parts SQL can follow ------------------------------------------------------
 
 
-@query(f"WITH d AS (SELECT a.vec_id AS q, b.label AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0), v AS (SELECT q, y, count(*) AS n FROM d WHERE r <= 5 GROUP BY q, y) SELECT q AS vec_id, arg_min(y, (-n, y)) AS prediction FROM v GROUP BY q")
+@query(f"WITH d AS (SELECT a.vec_id AS q, b.label AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0), v AS (SELECT q, y, count(*) AS n FROM d WHERE r <= 5 GROUP BY q, y) SELECT q AS vec_id, arg_min(y, (-n, y)) AS prediction FROM v GROUP BY q")
 def knn_classify(spark, sf):
     e = t(spark, sf, "embeddings")
-    m = neighbors.KNeighborsClassifier(5).fit(e.where("vec_id % 10 <> 0"), "embedding", "label", "vec_id")
-    return m.predict(e.where("vec_id % 10 = 0")).select("vec_id", "prediction")
+    m = neighbors.KNeighborsClassifier(5).fit(e, "embedding", "label", "vec_id")
+    return m.predict(e.where("vec_id % 100 = 0")).select("vec_id", "prediction")
 
 
 @query(f"SELECT a.vec_id AS id, b.vec_id AS other, round({DIST}, 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND {DIST} <= 1.1")
