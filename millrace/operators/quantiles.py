@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Accuracy of the sketch; different values in brackets that the driver may hold.
 ACCURACY, HELD = 10_000, 200_000
+#: Values from which on a bracket of the sketch's accuracy holds both neighbours of a quantile.
+WHOLE = 100_000
 
 
 def quantiles(df: DataFrame, columns: Mapping[str, Column], at: Sequence[float]) -> dict[str, list[float] | None]:
@@ -28,7 +30,7 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column], at: Sequence[float])
     one = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(columns.values())], *[F.percentile_approx(x.cast("double"), edges, ACCURACY).alias(f"e{i}") for i, x in enumerate(columns.values())]).first()
     x = {i: columns[c].cast("double") for i, c in enumerate(names)}
     #: (column, quantile) -> bracket and the wanted positions
-    open_ = {(i, k): (one[f"e{i}"][2 * k], one[f"e{i}"][2 * k + 1]) for i in x if one[f"n{i}"] for k in range(len(at))}
+    open_ = {(i, k): (one[f"e{i}"][2 * k], one[f"e{i}"][2 * k + 1]) if one[f"n{i}"] >= WHOLE else (-math.inf, math.inf) for i in x if one[f"n{i}"] for k in range(len(at))}
     spot = {(i, k): q * (one[f"n{i}"] - 1) for i in x if one[f"n{i}"] for k, q in enumerate(at)}
     found: dict[tuple[int, int], float] = {}
     while open_:
