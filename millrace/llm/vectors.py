@@ -49,6 +49,8 @@ REACH, BUCKET, TILE = 0.9995, 512, 1024
 BALANCE, RADIUS = 0.01, 5
 #: Least sample on which agreement is measured; below it planes go through the origin, where the angle alone tells it.
 MEASURED = 1000
+#: Bits of a code at least; those beyond the substrings sharpen the Hamming distance.
+CODE = 256
 
 
 def rotations(v: np.ndarray, count: int, rounds: int = 40, seed: int = 7) -> np.ndarray:
@@ -75,8 +77,8 @@ def layout(n: int, agree: float) -> tuple[int, int]:
     return width, max(1, math.ceil(math.log(1 - REACH) / math.log1p(-meet)))
 
 
-def quantiser(sample: np.ndarray, n: int, threshold: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray, int, int, int]:
-    """(maps, offsets, width, tables, Hamming radius), from a sample of unit vectors."""
+def quantiser(sample: np.ndarray, n: int, threshold: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray, int, int, int, int]:
+    """(maps, offsets, width, tables, bits of a code, Hamming radius), from a sample of unit vectors."""
     d, agree = sample.shape[1], agreement(threshold)
     rng = np.random.default_rng(seed)
     across = rng.standard_normal(sample.shape)
@@ -85,7 +87,8 @@ def quantiser(sample: np.ndarray, n: int, threshold: float, seed: int = 11) -> t
     moved = threshold * sample + math.sqrt(max(0.0, 1 - threshold**2)) * across  # at the threshold from the sample, in random directions
     while True:
         width, tables = layout(n, agree)
-        maps = rotations(sample, math.ceil(width * tables / d))
+        bits = max(CODE, width * tables)
+        maps = rotations(sample, math.ceil(bits / d))
         here, there = (np.concatenate([v @ r for r in maps], 1) for v in (sample, moved))
         offsets = np.zeros(here.shape[1])
         if len(sample) >= MEASURED:
@@ -97,9 +100,12 @@ def quantiser(sample: np.ndarray, n: int, threshold: float, seed: int = 11) -> t
             if layout(n, found)[1] > tables:
                 agree = found
                 continue
-        bits = width * tables
-        radius = bits * (1 - agree) + RADIUS * math.sqrt(bits * agree * (1 - agree)) + 3
-        return maps, offsets, width, tables, min(bits, math.ceil(radius))
+        known = len(sample) >= MEASURED
+        own = bits if known else min(bits, d)  # rotations may come out alike: a small sample doesn't show whether they did
+        radius = bits * (1 - agree) + RADIUS * bits * math.sqrt(agree * (1 - agree) / own) + 3
+        if known:  # no pair of the sample is lost
+            radius = max(radius, int(((here >= offsets) != (there >= offsets))[:, :bits].sum(1).max()))
+        return maps, offsets, width, tables, bits, min(bits, math.ceil(radius))
 
 
 def codes(v: np.ndarray, maps: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
@@ -180,8 +186,7 @@ def _links(classes: DataFrame, d: int, threshold: float, work: Scratch) -> DataF
     n = classes.count()
     taken = classes.select("v", F.xxhash64("node").alias("x")).orderBy("x").limit(SAMPLE).toPandas()["v"]
     sample = unit(pa.array(taken.tolist(), pa.list_(pa.float64())), d) if len(taken) else np.zeros((0, d))
-    maps, offsets, width, tables, radius = quantiser(sample, n, threshold)
-    bits = width * tables
+    maps, offsets, width, tables, bits, radius = quantiser(sample, n, threshold)
     held = spark.sparkContext.broadcast((maps, offsets))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +196,7 @@ def _links(classes: DataFrame, d: int, threshold: float, work: Scratch) -> DataF
                 code = codes(unit(some.column(1), d), *held.value, bits)
                 raw = pa.array([x.tobytes() for x in np.packbits(code, 1)], pa.binary())
                 at = pa.array(np.repeat(np.arange(len(code)), tables))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype="i4"), len(code))), pa.array(substrings(code, width).reshape(-1)), some.column(0).take(at), raw.take(at)], ["t", "key", "node", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype="i4"), len(code))), pa.array(substrings(code[:, : width * tables], width).reshape(-1)), some.column(0).take(at), raw.take(at)], ["t", "key", "node", "code"])
 
     placed = classes.select("node", "v").mapInArrow(place, "t int, key long, node struct<rep:long,h:long>, code binary")
     buckets = work.stored(placed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")), "buckets")
