@@ -154,33 +154,146 @@ class OPTICS(DBSCAN):
 
 
 class AgglomerativeClustering(BaseEstimator, ClusterMixin):
-    """Merges of the two nearest clusters. Needs all distances, so rows are bounded by ``max_rows``."""
+    """Merges of the two nearest clusters, all of them told without a matrix of rows x rows: chains of nearest neighbours (single linkage: the least spanning tree).
 
-    def __init__(self, n_clusters=2, linkage="ward", max_rows=5000):
+    The driver holds the rows. Time grows with their square; complete and average linkage compare all rows of two clusters anew. Only where ``max_rows`` is given are more rows refused.
+    """
+
+    def __init__(self, n_clusters=2, linkage="ward", max_rows=None):
         self.n_clusters, self.linkage, self.max_rows = n_clusters, linkage, max_rows
 
     def fit_predict(self, df: DataFrame, features, id_col: str, out: str = "cluster") -> DataFrame:
         ids, x = bounded(df, features, id_col, self.max_rows)
-        d = np.sqrt(squared(x, x)) if self.linkage != "ward" else squared(x, x)
-        np.fill_diagonal(d, np.inf)
-        size, alive, member = np.ones(len(x)), np.ones(len(x), bool), np.arange(len(x))
-        for _ in range(max(0, len(x) - self.n_clusters)):
-            i, j = divmod(int(d.argmin()), len(x))
-            i, j = min(i, j), max(i, j)
-            a, b, dij = d[i].copy(), d[j].copy(), d[i, j]
-            new = {"single": np.minimum(a, b), "complete": np.maximum(a, b), "average": (size[i] * a + size[j] * b) / (size[i] + size[j])}.get(self.linkage)
-            if new is None:
-                with np.errstate(invalid="ignore"):
-                    new = ((size[i] + size) * a + (size[j] + size) * b - size * dij) / (size[i] + size[j] + size)
-            new[~alive] = np.inf
-            new[[i, j]] = np.inf
-            d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
-            size[i] += size[j]
-            alive[j] = False
-            member[member == j] = i
+        if not np.isfinite(x).all():
+            raise ValueError("rows hold missing or infinite values")
+        merges = _tree_merges(x) if self.linkage == "single" else _chain_merges(_Centroids(x) if self.linkage == "ward" else _Members(x, self.linkage))
+        up = np.arange(len(x))
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        order = np.argsort([h for _, _, h in merges], kind="stable") if merges else []
+        for k in order[: max(0, len(x) - self.n_clusters)]:
+            i, j = sorted((root(merges[k][0]), root(merges[k][1])))
+            up[j] = i
+        member = np.asarray([root(i) for i in range(len(x))], "i8")
         return joined(df, id_col, ids, np.unique(member, return_inverse=True)[1], out)
 
 
+def _tree_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """(row, row, distance) of the least spanning tree."""
+    n, merges = len(x), []
+    best, to, left = np.full(n, np.inf), np.zeros(n, "i8"), np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        left[at] = False
+        d = ((x - x[at]) ** 2).sum(1)
+        nearer = left & (d < best)
+        best[nearer], to[nearer] = d[nearer], at
+        best[at] = np.inf
+        at = int(best.argmin()) if np.isfinite(best).any() else int(left.argmax())
+        merges.append((int(to[at]), at, float(np.sqrt(best[at]))))
+    return merges
+
+
+class _Centroids:
+    """Ward's distances from sizes and means alone. Merged clusters leave the arrays once they are a quarter of them."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.c, self.inverse, self.row = x.T.copy(), np.ones(len(x)), np.arange(len(x))
+        self.d, self.part = np.empty(len(x)), np.empty(len(x))
+
+    def distances(self, a: int) -> np.ndarray:
+        n = len(self.row)
+        d, part = self.d[:n], self.part[:n]
+        d.fill(0)
+        for c in self.c:
+            np.subtract(c, c[a], out=part)
+            part *= part
+            d += part
+        np.add(self.inverse, self.inverse[a], out=part)
+        d /= part
+        d[a] = np.inf
+        return d
+
+    def merge(self, a: int, b: int) -> None:
+        """``a`` takes ``b``, which is at an infinite distance from then on."""
+        size = 1 / self.inverse[[a, b]]
+        self.c[:, a] = (self.c[:, [a, b]] * size).sum(1) / size.sum()
+        self.inverse[a] = 1 / size.sum()
+        self.c[:, b] = np.inf
+
+    def compact(self, alive: np.ndarray) -> None:
+        self.c, self.inverse, self.row = np.ascontiguousarray(self.c[:, alive]), self.inverse[alive], self.row[alive]
+
+
+class _Members:
+    """Largest or mean distance between the rows of two clusters, from the rows."""
+
+    def __init__(self, x: np.ndarray, linkage: str) -> None:
+        if linkage not in ("complete", "average"):
+            raise ValueError(f"no linkage {linkage}")
+        self.x, self.row, self.mean = x, np.arange(len(x)), linkage == "average"
+        self.of, self.rows, self.gone = np.arange(len(x)), [np.asarray([i]) for i in range(len(x))], np.zeros(len(x), bool)
+
+    def distances(self, a: int) -> np.ndarray:
+        far = np.zeros(len(self.x))
+        for lo in range(0, len(self.rows[a]), 64):
+            d = np.sqrt(squared(self.x, self.x[self.rows[a][lo : lo + 64]]))
+            far = far + d.sum(1) if self.mean else np.maximum(far, d.max(1))
+        if self.mean:
+            n = np.bincount(self.of, minlength=len(self.row))
+            out = np.bincount(self.of, far, len(self.row)) / np.maximum(n * len(self.rows[a]), 1)
+        else:
+            out = np.zeros(len(self.row))
+            np.maximum.at(out, self.of, far)
+        out[self.gone] = np.inf
+        out[a] = np.inf
+        return out
+
+    def merge(self, a: int, b: int) -> None:
+        self.of[self.rows[b]] = a
+        self.rows[a], self.rows[b], self.gone[b] = np.concatenate([self.rows[a], self.rows[b]]), None, True
+
+    def compact(self, alive: np.ndarray) -> None:
+        at = np.cumsum(alive) - 1
+        self.of, self.rows, self.row, self.gone = at[self.of], [r for r, k in zip(self.rows, alive) if k], self.row[alive], self.gone[alive]
+
+
+def _chain_merges(space) -> list[tuple[int, int, float]]:
+    """(row, row, height) of all merges. From any cluster, step to the nearest until two are nearest to each other: they merge in the whole tree too, as no merge of these linkages comes nearer to others than its parts. A merge is no lower than those below it."""
+    n = len(space.row)
+    merges, chain, alive, height, first = [], [], np.ones(n, bool), np.zeros(n), 0
+    while len(merges) < n - 1:
+        if not chain:
+            while not alive[first]:
+                first += 1
+            chain.append(first)
+        a = chain[-1]
+        d = space.distances(a)
+        b = int(d.argmin())
+        if len(chain) > 1 and d[chain[-2]] <= d[b]:
+            b = chain[-2]
+        if len(chain) < 2 or b != chain[-2]:
+            chain.append(b)
+            continue
+        del chain[-2:]
+        low = float(d[b])
+        a, b = min(a, b), max(a, b)
+        height[a] = max(low, height[a], height[b])
+        merges.append((int(space.row[a]), int(space.row[b]), height[a]))
+        space.merge(a, b)
+        alive[b] = False
+        if 4 * (n - len(merges)) < 3 * len(alive):
+            at = np.cumsum(alive) - 1
+            chain, first = [int(at[k]) for k in chain], 0
+            space.compact(alive)
+            height, alive = height[alive], np.ones(n - len(merges), bool)
+    return merges
+
+
 class MeanShift(BaseEstimator, ClusterMixin):
     """Every row climbs to a mode of a Gaussian density over all rows; modes nearer than the bandwidth are one. A round weighs rows x rows, in blocks; the driver holds the climbing rows. Only where ``max_seeds`` is given does a sample of so many rows climb instead."""
 
@@ -225,10 +338,11 @@ def _shift(blocks, at, h, most=512):
         yield pd.DataFrame({"cell": lo * d + np.arange(len(out)), "x": out})
 
 
-def bounded(df: DataFrame, features, id_col: str, most: int) -> tuple[list, np.ndarray]:
-    """Ids and matrix on the driver, in order of the id; an error beyond ``most`` rows. For methods defined by a full distance matrix."""
-    got = df.select(F.col(f"`{id_col}`").alias("id"), vector(features).alias("v")).orderBy("id").limit(most + 1).toPandas()
-    if len(got) > most:
+def bounded(df: DataFrame, features, id_col: str, most: int | None) -> tuple[list, np.ndarray]:
+    """Ids and matrix on the driver, in order of the id; an error beyond ``most`` rows, if given. For methods defined by all distances."""
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), vector(features).alias("v")).orderBy("id")
+    got = (rows if most is None else rows.limit(most + 1)).toPandas()
+    if most is not None and len(got) > most:
         raise ValueError(f"more than {most} rows; this method holds a matrix of rows x rows")
     return got["id"].tolist(), matrix(got["v"])
 

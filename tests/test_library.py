@@ -221,6 +221,30 @@ def test_clusters(spark):
     assert metrics.silhouette_score(df, f, "label", "id") > 0.7 and metrics.davies_bouldin_score(df, f, "label") < 0.5 and metrics.calinski_harabasz_score(df, f, "label") > 100
 
 
+@pytest.mark.parametrize("linkage", ["ward", "single", "complete", "average"])
+def test_agglomerative_merges_the_nearest(spark, linkage):
+    x = np.random.default_rng(5).standard_normal((40, 2))
+    groups = [[i] for i in range(40)]
+
+    def apart(a, b):
+        d = np.linalg.norm(x[a][:, None] - x[b][None], axis=2)
+        return {"ward": len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum(), "single": d.min(), "complete": d.max(), "average": d.mean()}[linkage]
+
+    while len(groups) > 6:
+        _, i, j = min((apart(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i))
+        groups[j] += groups.pop(i)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(x.tolist())], "id long, x0 double, x1 double")
+    found = cluster.AgglomerativeClustering(6, linkage).fit_predict(df, ["x0", "x1"], "id").groupBy("cluster").agg(F.collect_set("id").alias("ids")).collect()
+    assert {frozenset(r["ids"]) for r in found} == {frozenset(g) for g in groups}
+
+
+def test_agglomerative_takes_all_rows(spark):
+    df = spark.range(5500).select("id", (F.col("id") % 2 * 1000 + F.col("id") / 100).alias("x0"))
+    assert cluster.AgglomerativeClustering(2).fit_predict(df, ["x0"], "id").where("cluster = id % 2").count() == 5500
+    with pytest.raises(ValueError):
+        cluster.AgglomerativeClustering(2, max_rows=100).fit_predict(df, ["x0"], "id")
+
+
 def test_mean_shift_climbs_from_every_row(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.3, (700, 2)), [[20.0, 20.0], [-20.0, 20.0], [20.0, -20.0], [-20.0, -20.0]]])
