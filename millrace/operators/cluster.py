@@ -110,26 +110,62 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
+def _joins(pdf, near: np.ndarray):
+    """Of a tile whose rows touch as ``near`` says: (core, core, true) that joins its groups of cores, (row, core, false) of other rows and each group they touch."""
+    import pandas as pd
+
+    core = pdf["core"].to_numpy("bool")
+    among = near[:, core].any(1)
+    group = np.where(core, -1, -2)
+    lone = core & ~among
+    group[lone] = np.flatnonzero(lone)
+    for s in np.flatnonzero(core & among):
+        if group[s] < 0:
+            front = np.asarray([s])
+            while len(front):
+                group[front] = s
+                front = np.flatnonzero(near[front].any(0) & (group == -1))
+    members = np.flatnonzero(core & (group != np.arange(len(pdf))))
+    others, cores = np.flatnonzero(~core & among), np.flatnonzero(core)
+    a, b = np.nonzero(near[np.ix_(others, cores)])
+    pairs = np.unique(others[a] * len(pdf) + group[cores[b]])
+    ids = pdf["id"].to_numpy()
+    return pd.DataFrame({"id": ids[np.append(members, pairs // len(pdf))], "other": ids[np.append(group[members], pairs % len(pdf))], "link": np.arange(len(members) + len(pairs)) < len(members)})
+
+
 class DBSCAN(BaseEstimator, ClusterMixin):
-    """Rows with enough neighbours within eps (themselves counted) are cores; linked cores are a cluster, numbered by least row id; others join the first cluster that reaches them, or none (-1)."""
+    """Rows with enough neighbours within eps (themselves counted) are cores; linked cores are a cluster, numbered by least row id; others join the first cluster that reaches them, or none (-1).
+
+    Rows meet in tiles. A tile returns how many neighbours its rows have; then, of cores, links enough to join those that it joins, and for other rows one core of each group of its own. No pairs are kept.
+    """
 
     def __init__(self, eps=0.5, min_samples=5, metric="euclidean"):
         self.eps, self.min_samples, self.metric = eps, min_samples, metric
 
     def fit_predict(self, df: DataFrame, features, id_col: str, out: str = "cluster") -> DataFrame:
-        from .neighbors import within
+        from .neighbors import tiles, touching
         from .split import running_count
 
+        eps, metric, tile = self.eps, self.metric, ["c", "p", "d", "q"]
         rows = df.select(F.col(f"`{id_col}`").alias("id"), vector(features).alias("v"))
-        near = cut(within(rows, self.eps, self.metric).select("id", "other"))
-        degrees = rows.select("id").join(near.groupBy("id").agg(F.count("*").alias("k")), "id", "left").select("id", (F.coalesce("k", F.lit(0)) + 1).alias("k"))
-        core = cut(degrees.where(F.col("k") >= self.min_samples).select("id"))
-        links = near.join(core, "id").join(core.select(F.col("id").alias("other")), "other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        comps = components(links)
+        kind = rows.schema["id"].dataType.simpleString()
+
+        def count(pdf):
+            return pdf[["id"]].assign(k=touching(pdf, eps, metric).sum(1))
+
+        def join(pdf):
+            return _joins(pdf, touching(pdf, eps, metric))
+
+        near = tiles(rows, eps, metric).groupBy(*tile).applyInPandas(count, f"id {kind}, k long").groupBy("id").agg(F.sum("k").alias("k"))
+        degrees = cut(rows.select("id").join(near, "id", "left").select("id", (F.coalesce("k", F.lit(0)) + 1).alias("k")))
+        core = degrees.where(F.col("k") >= self.min_samples).select("id")
+        some = rows.join(degrees.where((F.col("k") > 1) | (F.col("k") >= self.min_samples)).select("id", (F.col("k") >= self.min_samples).alias("core")), "id")
+        found = cut(tiles(some, eps, metric).groupBy(*tile).applyInPandas(join, f"id {kind}, other {kind}, link boolean"))
+        comps = components(found.where("link").select(F.col("id").alias("a"), F.col("other").alias("b")))
         root = core.join(comps, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
         number = running_count(root.select("root").distinct(), "root").withColumnRenamed("before", "c_")
         cored = root.join(number, "root").select("id", "c_")
-        border = near.join(cored.select(F.col("id").alias("other"), "c_"), "other").join(core, "id", "left_anti").groupBy("id").agg(F.min("c_").alias("c_"))
+        border = found.where("not link").select("id", "other").join(cored.select(F.col("id").alias("other"), "c_"), "other").groupBy("id").agg(F.min("c_").alias("c_"))
         found = cored.unionByName(border).withColumnRenamed("id", "i_")
         return df.join(found, F.col(f"`{id_col}`") == F.col("i_"), "left").withColumn(out, F.coalesce("c_", F.lit(-1)).cast("int")).drop("i_", "c_")
 

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .base import BaseEstimator, RegressorMixin, vector
+from .base import BaseEstimator, RegressorMixin, matrix, vector
 from .linear import _Classifier
 
 BLOCK = 2048
+#: Rows in a side of a tile.
+SIDE = 1024
 
 
 def _blocks(df: DataFrame, id_col: str, v: str, more: list[str], prefix: str) -> DataFrame:
@@ -108,6 +110,46 @@ def within(rows: DataFrame, radius: float, metric: str = "euclidean") -> DataFra
     return pairs.select("q_rows", "f_rows").mapInArrow(near, f"id {t}, other {t}, distance double")
 
 
+def tiles(rows: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
+    """``rows`` (id, v, ...), each once for every tile (c, p, d, q) it is in: a tile has two sides of some SIDE rows (one side, if p = q and d = 0), and rows within the radius share one.
+
+    Rows lie in cells along their widest column, at least as wide as the radius, and meet those of their own cell and the next ones.
+    """
+    wide, cell = None, F.lit(0).cast("long")
+    reach = {"cosine": np.inf, "sqeuclidean": np.sqrt(max(radius, 0))}.get(metric, max(radius, 0)) * (1 + 1e-9)
+    if np.isfinite(reach):
+        x = F.when(F.abs("x") < float("inf"), F.col("x"))  # neither NaN
+        sides = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n")).where("lo is not null").collect()
+        wide = max(sides, key=lambda r: r["hi"] - r["lo"], default=None)
+    if wide is not None:
+        at, width = F.get("v", F.lit(wide["i"])), max(reach, (wide["hi"] - wide["lo"]) * (SIDE / 4 / wide["n"]))
+        near = F.floor((at - wide["lo"]) / width).cast("long") if width else F.lit(0).cast("long")
+        cell = F.when(F.abs(at) < float("inf"), near)  # others are at no distance
+    rows = rows.where("v is not null").withColumn("c", cell).where("c is not null")
+    sizes = rows.groupBy("c").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("own"))
+    around = [sizes.select((F.col("c") + k).alias("c"), F.col("own").alias(name)) for k, name in ((-1, "next"), (1, "last"))]
+    sizes = sizes.join(around[0], "c", "left").join(around[1], "c", "left")
+    upto = lambda n: F.when(F.col(n).isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.col(n) - 1))
+    tile = lambda c, p, d, q, side: F.struct(c.alias("c"), p.alias("p"), F.lit(d).alias("d"), q.alias("q"), side.cast("int").alias("side"))
+    c, own = F.col("c"), F.pmod(F.xxhash64("id"), F.col("own")).cast("int")
+    mine = F.transform(upto("own"), lambda k: tile(c, F.least(own, k), 0, F.greatest(own, k), own > k))
+    after = F.transform(upto("next"), lambda k: tile(c, own, 1, k, F.lit(0)))
+    before = F.transform(upto("last"), lambda k: tile(c - 1, k, 1, own, F.lit(1)))
+    placed = rows.join(F.broadcast(sizes), "c").withColumn("tile", F.explode(F.concat(mine, after, before)))
+    return placed.select("tile.*", *[x for x in rows.columns if x != "c"])
+
+
+def touching(pdf: pd.DataFrame, radius: float, metric: str) -> np.ndarray:
+    """Which rows of a tile are within the radius of each other across its sides; none of itself."""
+    x, ids, side = matrix(pdf["v"]), pdf["id"].to_numpy(), pdf["side"].to_numpy()
+    near = np.zeros((len(pdf), len(pdf)), bool)
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if pdf["d"].iloc[0] == 0 and pdf["p"].iloc[0] == pdf["q"].iloc[0]:
+        b = a
+    near[np.ix_(a, b)] = (_distances(x[a], x[b], metric) <= radius) & (ids[a][:, None] != ids[b][None, :])
+    return near | near.T
+
+
 class NearestNeighbors(BaseEstimator):
     def __init__(self, n_neighbors=5, radius=1.0, metric="euclidean"):
         self.n_neighbors, self.radius, self.metric = n_neighbors, radius, metric

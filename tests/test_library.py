@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.text import clean_text, normalize_arabic
-from millrace.operators import bayes, cluster, decompose, encode, linear, meta, metrics, neighbors, prepare, profile, select, series, split, trees, words
+from millrace.operators import bayes, cluster, decompose, encode, linear, meta, metrics, neighbors, prepare, profile, select, series, split, tables, trees, words
 from millrace.operators.base import NotFittedError, check_array, clone, moments
 from millrace.plans import automl, compose
 from millrace.sources import files, synthetic
@@ -245,6 +245,39 @@ def test_agglomerative_takes_all_rows(spark):
         cluster.AgglomerativeClustering(2, max_rows=100).fit_predict(df, ["x0"], "id")
 
 
+@pytest.mark.parametrize("metric, eps", [("euclidean", 0.3), ("sqeuclidean", 0.09), ("manhattan", 0.35), ("cosine", 0.001)])
+def test_dbscan_by_tiles(spark, metric, eps, monkeypatch):
+    monkeypatch.setattr(neighbors, "SIDE", 16)  # many tiles, cells of many parts
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((150, 2)) * 2, np.repeat([[0.5, 0.5]], 40, 0)])
+    d = neighbors._distances(x, x, metric)
+    near = (d <= eps) & ~np.eye(len(x), dtype=bool)
+    core = near.sum(1) + 1 >= 4
+    want, clusters = np.full(len(x), -1), 0
+    for s in range(len(x)):
+        if core[s] and want[s] < 0:
+            todo = [s]
+            while todo:
+                k = todo.pop()
+                if want[k] < 0:
+                    want[k] = clusters
+                    todo += np.flatnonzero(near[k] & core).tolist()
+            clusters += 1
+    for k in np.flatnonzero(~core):
+        reach = want[near[k] & core]
+        want[k] = reach.min() if len(reach) else -1
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(x.tolist())] + [(900, float("nan"), 0.0), (901, None, 0.0)], "id long, x0 double, x1 double")
+    found = cluster.DBSCAN(eps, 4, metric).fit_predict(df, ["x0", "x1"], "id").select("id", "cluster").toPandas().set_index("id")["cluster"]
+    assert found.loc[range(len(x))].tolist() == want.tolist() and found.loc[[900, 901]].tolist() == [-1, -1] and clusters > 1
+
+
+def test_cut_forgets_estimates(spark):
+    df = spark.range(5).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for _ in range(14):  # digits of an estimate that is kept double each round
+        df = tables.cut(df.join(df.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+    assert df.count() == 5 and len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 40
+
+
 def test_mean_shift_climbs_from_every_row(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.3, (700, 2)), [[20.0, 20.0], [-20.0, 20.0], [20.0, -20.0], [-20.0, -20.0]]])
