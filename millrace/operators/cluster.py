@@ -331,23 +331,21 @@ def _chain_merges(space) -> list[tuple[int, int, float]]:
 
 
 class MeanShift(BaseEstimator, ClusterMixin):
-    """Every row climbs to a mode of a Gaussian density over all rows; modes nearer than the bandwidth are one. A round weighs rows x rows, in blocks; the driver holds the climbing rows. Only where ``max_seeds`` is given does a sample of so many rows climb instead."""
+    """Every row climbs to a mode of a Gaussian density over all rows; modes nearer than the bandwidth are one. Only where ``max_seeds`` is given does a sample of so many rows climb instead.
+
+    Where cells of a quarter of the bandwidth are few against the rows, the density is that of the cells' moments, expanded until what is left out is below rounding; tasks climb with that table. Else a round weighs rows x rows, in blocks. The driver holds the climbed rows.
+    """
 
     def __init__(self, bandwidth=1.0, max_iter=50, max_seeds=None, seed=0):
         self.bandwidth, self.max_iter, self.max_seeds, self.seed = bandwidth, max_iter, max_seeds, seed
 
     def fit(self, df: DataFrame, features) -> "MeanShift":
-        data = df.select(vector(features).alias("v")).cache()
-        order = F.xxhash64("v", F.lit(self.seed))
-        starts = data.distinct().orderBy(order) if self.max_seeds is None else data.orderBy(order).limit(self.max_seeds)  # equal rows climb alike
-        seeds = matrix(starts.toPandas()["v"])
-        h = 2 * self.bandwidth**2
-        for _ in range(self.max_iter):
-            at = seeds
-            sums = data.mapInPandas(lambda it, at=at: _shift((matrix(b["v"]) for b in it if len(b)), at, h), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas().sort_values("cell")["x"].to_numpy().reshape(len(seeds), -1)
-            seeds = sums[:, :-1] / np.maximum(sums[:, -1:], 1e-300)
-            if np.abs(seeds - at).max() < 1e-4 * self.bandwidth:
-                break
+        data = df.select(vector(features).alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("n")).cache()  # equal rows climb alike
+        order = F.xxhash64("v", F.lit(self.seed)).alias("h")
+        starts = data.select(order, "v") if self.max_seeds is None else df.select(vector(features).alias("v")).select(order, "v").orderBy("h").limit(self.max_seeds)
+        seeds = self._by_cells(data, starts)
+        if seeds is None:
+            seeds = self._by_rows(data, matrix(starts.orderBy("h").toPandas()["v"]))
         data.unpersist()
         modes: list[np.ndarray] = []
         while len(seeds):
@@ -356,18 +354,140 @@ class MeanShift(BaseEstimator, ClusterMixin):
         self.features_, self.cluster_centers_ = features, np.asarray(modes)
         return self
 
+    def _by_rows(self, data: DataFrame, seeds: np.ndarray) -> np.ndarray:
+        h = 2 * self.bandwidth**2
+        for _ in range(self.max_iter):
+            at = seeds
+            sums = data.mapInPandas(lambda it, at=at: _shift(((matrix(b["v"]), b["n"].to_numpy()) for b in it if len(b)), at, h), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas().sort_values("cell")["x"].to_numpy().reshape(len(seeds), -1)
+            seeds = sums[:, :-1] / np.maximum(sums[:, -1:], 1e-300)
+            if np.abs(seeds - at).max() < 1e-4 * self.bandwidth:
+                break
+        return seeds
+
+    def _by_cells(self, data: DataFrame, starts: DataFrame) -> np.ndarray | None:
+        """The climbed rows in order of their hash; none where cells save nothing."""
+        import pandas as pd
+
+        sides = data.select("n", F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")).orderBy("i").collect()
+        lo, hi = (np.asarray([r[k] for r in sides], "f8") for k in ("lo", "hi"))
+        if not len(lo) or not (np.isfinite(lo) & np.isfinite(hi)).all() or len({r["n"] for r in sides}) > 1:
+            return None
+        rows, steps, moves, unit = sides[0]["n"], self.max_iter, np.flatnonzero(hi > lo), self.bandwidth
+        terms = _powers(len(moves), _order(len(moves)))
+        width = 1 + len(moves)
+        if len(terms) * 4 >= rows or ((hi - lo) / unit > 2.0**40).any():
+            return None
+        cell = F.array(*[F.floor((F.get("v", F.lit(int(i))) - float(lo[i])) / (unit * CELL)).cast("long") for i in moves], F.lit(0).cast("long"))
+        cells = data.select(cell.alias("c")).distinct().limit(rows // len(terms) + 1).count()
+        if cells * len(terms) >= rows:
+            return None
+
+        def add(batches):
+            sums: dict = {}
+            for whole in batches:
+                for k in range(0, len(whole), step := max(1, MOST // (len(terms) * width))):
+                    b = whole[k : k + step]
+                    at = (matrix(b["v"])[:, moves] - lo[moves]) / unit
+                    cs = np.asarray(b["c"].tolist(), "i8").reshape(len(b), -1)
+                    u = at - (cs[:, :-1] + 0.5) * CELL
+                    m = b["n"].to_numpy() * np.exp(-(u * u).sum(1) / 2)
+                    mono = np.stack(_monomials(u, terms, True), 1) * m[:, None]
+                    full = np.concatenate([mono[:, :, None], mono[:, :, None] * u[:, None, :]], 2).reshape(len(b), -1)
+                    keys, of = np.unique(cs, axis=0, return_inverse=True)
+                    by = np.argsort(of.ravel(), kind="stable")
+                    parts = np.add.reduceat(full[by], np.searchsorted(of.ravel()[by], np.arange(len(keys))))
+                    for key, x in zip(map(tuple, keys.tolist()), parts):
+                        sums[key] = sums.get(key, 0) + x
+            for key, x in sums.items():
+                yield pd.DataFrame({"c": [list(key)] * len(x), "term": np.arange(len(x)), "x": x})
+
+        table = data.select("v", "n", cell.alias("c")).mapInPandas(add, "c array<long>, term int, x double").groupBy("c", "term").agg(F.sum("x").alias("x")).orderBy("c", "term").toPandas()
+        per = len(terms) * width
+        centers = (np.asarray(table["c"].tolist()[::per], "f8").reshape(-1, len(moves) + 1)[:, :-1] + 0.5) * CELL
+        sums = table["x"].to_numpy().reshape(len(centers), len(terms), width).copy()
+        sums[:, :, 1:] += sums[:, :, :1] * centers[:, None, :]
+        held = data.sparkSession.sparkContext.broadcast((centers, sums))
+
+        def climb(batches):
+            for b in batches:
+                if len(b):
+                    x = matrix(b["v"])
+                    at = (x[:, moves] - lo[moves]) / unit
+                    for _ in range(steps):
+                        was, at = at, _density(at, *held.value, terms)
+                        if np.abs(at - was).max(initial=0) < 1e-4:
+                            break
+                    x[:, moves] = lo[moves] + at * unit
+                    yield pd.DataFrame({"h": b["h"], "v": list(x)})
+
+        work = rows * cells * len(terms)
+        tasks = int(min(max(1, work // 2**24), 8 * data.sparkSession.sparkContext.defaultParallelism))
+        got = starts.repartition(tasks).mapInPandas(climb, "h long, v array<double>").orderBy("h", "v").toPandas()
+        held.unpersist()
+        return matrix(got["v"])
+
     predict = KMeans.predict
 
 
+#: Side of a cell in bandwidths, and what the expansion may leave out of a row's weight.
+CELL, LEFT_OUT = 0.25, 1e-16
+#: Numbers that a step of the expansion holds.
+MOST = 1 << 21
+
+
+def _order(d: int) -> int:
+    """Powers needed in ``d`` columns: the rest of the series of e^(r u), u half a cell's diagonal, times e^(-r^2/2), at any distance r."""
+    from math import factorial
+
+    u, r = CELL / 2 * np.sqrt(d), np.linspace(0, 40, 4001)
+    p = 1
+    while (np.exp(r * u - r * r / 2) * (r * u) ** p).max() / factorial(p) > LEFT_OUT:
+        p += 1
+    return p
+
+
+def _powers(d: int, order: int) -> list[tuple[int, int, int]]:
+    """Monomials of ``d`` columns below ``order``: (the one it extends, by which column, that column's power); the first is 1."""
+    out, last = [(-1, -1, 0)], [(0, 0, 0)]
+    for _ in range(1, order):
+        new = []
+        for k, first, p in last:
+            for j in range(first, d):
+                n = p + 1 if j == first and k else 1
+                out.append((k, j, n))
+                new.append((len(out) - 1, j, n))
+        last = new
+    return out
+
+
+def _monomials(u: np.ndarray, terms: list[tuple[int, int, int]], scaled: bool = False) -> list[np.ndarray]:
+    """Each monomial of the last axis; ``scaled`` by its factorials."""
+    out = [np.ones(u.shape[:-1])]
+    for k, j, n in terms[1:]:
+        out.append(out[k] * u[..., j] / n if scaled else out[k] * u[..., j])
+    return out
+
+
+def _density(at: np.ndarray, centers: np.ndarray, sums: np.ndarray, terms: list[tuple[int, int, int]]) -> np.ndarray:
+    """The mean of all rows, weighed by their distance from each place."""
+    out, step = np.empty_like(at), max(1, MOST // (len(centers) * len(terms)))
+    for lo in range(0, len(at), step):
+        d = at[lo : lo + step, None, :] - centers[None]
+        w = np.exp(-(d * d).sum(2) / 2)
+        total = sum((w * m) @ sums[:, k] for k, m in enumerate(_monomials(d, terms)))
+        out[lo : lo + step] = total[:, 1:] / total[:, :1]
+    return out
+
+
 def _shift(blocks, at, h, most=512):
-    """Weighted sums of a task's rows around each place of ``at``, ``most`` places at a time."""
+    """Weighted sums of a task's rows (and how often they occur) around each place of ``at``, ``most`` places at a time."""
     import pandas as pd
 
     d = at.shape[1] + 1
     sums = np.zeros((len(at), d))
-    for x in blocks:
+    for x, n in blocks:
         for lo in range(0, len(at), most):
-            w = np.exp(-squared(at[lo : lo + most], x) / h)
+            w = np.exp(-squared(at[lo : lo + most], x) / h) * n
             sums[lo : lo + most] += np.concatenate([w @ x, w.sum(1, keepdims=True)], 1)
     for lo in range(0, len(at), most):
         out = sums[lo : lo + most].ravel()

@@ -287,6 +287,26 @@ def test_mean_shift_climbs_from_every_row(spark):
     assert len(cluster.MeanShift(1.0, max_seeds=1).fit(df, ["x0", "x1"]).cluster_centers_) == 1
 
 
+@pytest.mark.parametrize("d", [1, 2])
+def test_mean_shift_by_cells_weighs_all_rows(spark, d):
+    rng = np.random.default_rng(4)
+    spread = 0.4 if d == 1 else 0.05
+    x = np.concatenate([rng.normal(0, spread, (4000, d)), rng.normal(6, spread, (2000, d)), np.full((500, d), 6.0)])
+    df = spark.createDataFrame([(*r, 7.0) for r in x.tolist()], ", ".join(f"x{i} double" for i in range(d + 1))).repartition(3)
+    m = cluster.MeanShift(1.0, max_iter=6)
+    data = df.select(F.array("*").alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("n")).cache()
+    starts = data.select(F.xxhash64("v").alias("h"), "v").orderBy("h").limit(300)
+    found = m._by_cells(data, starts)
+    at = np.asarray([r["v"] for r in starts.orderBy("h", "v").collect()])
+    assert found is not None and np.abs(m._by_rows(data, at) - found).max() < 1e-4
+    for _ in range(6):
+        w = np.exp(-((at[:, None, :d] - x[None]) ** 2).sum(2) / 2)
+        was, at = at, np.column_stack([w @ x / w.sum(1, keepdims=True), at[:, d:]])
+    assert np.abs(at - found).max() < 2e-4
+    got = cluster.MeanShift(1.0).fit(df, [f"x{i}" for i in range(d + 1)]).cluster_centers_
+    assert len(got) == 2 and np.abs(np.sort(got[:, 0]) - [0, 6]).max() < 0.1 and (got[:, d] == 7).all()
+
+
 def test_kernel_pca_takes_all_rows_or_refuses(spark):
     x = np.random.default_rng(2).standard_normal((2100, 3))
     df = spark.createDataFrame(x.tolist(), "x0 double, x1 double, x2 double")
