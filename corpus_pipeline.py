@@ -19,12 +19,24 @@ from millrace.llm.encoding import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Most rows and bytes of a batch of texts on its way to Python and back. Executors and workers hold several such batches beside a full heap, so the session keeps this setting.
+BATCH_ROWS, BATCH_BYTES = 1024, "8m"
+#: Distinct pieces whose tokens a worker keeps: workers live through all stages.
+PIECES = 150_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with some margin, under that language; learnt from those that aren't held out.
 
     Null texts and those without letters go, as do narrow margins. A null id counts as not held out; a null lang teaches nothing.
     """
+    small_batches(spark)
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
     told = language.identify(docs.select(*COLUMNS), model, keep=COLUMNS)
     return told.where("accepted").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -35,6 +47,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows without an id or without words stay. Rows that repeat an id and text stand and fall together; an id with two texts stands for both.
     """
+    small_batches(spark)
     return near_dup.one_of_each(docs.select(*COLUMNS))
 
 
@@ -55,7 +68,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of documents in sequences of 2048 tokens, in the order of the mix. A null or empty text is its end token."""
-    return packing.pack(docs, tokenizer=tokenizer_path(entries.WORD_BPE), file_order=True)
+    small_batches(spark)
+    return packing.pack(docs, tokenizer=tokenizer_path(entries.WORD_BPE), file_order=True, max_pieces=PIECES)
 
 
 STAGES = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +99,25 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, tot
     return hot.unionByName(left.where(~is_heavy).join(out.where(~is_heavy), on, how))
 
 
+def maybe_among(keys: DataFrame, work: Scratch) -> Callable[[Column], Column]:
+    """Whether a hash (long) may be one of ``keys`` (h): true for all of them and about a hundredth of the others.
+
+    Spark's Bloom filter, ten bits for each key (8 MB at most: beyond, more others are true). What it rules out need not be shuffled to be told apart.
+    """
+    spark, n = keys.sparkSession, keys.count()
+    if not n:
+        return lambda h: F.lit(False)
+    found, raw = keys._jdf.stat().bloomFilter("h", n, 0.01), spark._jvm.java.io.ByteArrayOutputStream()
+    found.writeTo(raw)
+    bits = work.stored(spark.createDataFrame([(bytearray(raw.toByteArray()),)], "bits binary"), "bits")
+
+    def test(h: Column) -> Column:
+        to = spark._jvm.org.apache.spark.sql.classic.ExpressionUtils
+        return Column(to.column(spark._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(to.expression(bits.scalar()._jc), to.expression(h._jc))))
+
+    return test
+
+
 def own_columns(df: DataFrame, *names: str, prefix: str = "x_") -> DataFrame:
     """The named columns and no others, so that further columns of the input can't clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])

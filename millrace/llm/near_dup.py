@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread_join
+from .common import Scratch, maybe_among, spread_join
 from .graph import components
 
 WORDS = 5
@@ -389,7 +389,8 @@ def groups(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", t
     meets = crowded.groupBy("id").agg(F.sum("n").alias("meets"))
     wanted = work.stored(meets.join(reps, "id"), "wanted")
     signs = wanted.select("id", "weight", "sig")
-    texts = work.stored(rows.select(node.alias("id"), "text").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    is_wanted = maybe_among(wanted.select(F.xxhash64("id.id", "id.th").alias("h")), work)(F.xxhash64("id", "th"))
+    texts = work.stored(rows.where(is_wanted).select(node.alias("id"), "text").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "candidates")
 
     def with_hubs(left: DataFrame, hubs: DataFrame, size: int, differ: str) -> DataFrame:
         """Pairs (a, b) of members (key, id, ...) and their band's hub (key, n, hub, ...) that neither weights nor samples rule out."""
@@ -433,9 +434,9 @@ def groups(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", t
     return spread_join(signed.select("id", "th", "d1", "d2"), rooted, ["d1", "d2"], "copies", signed.count()).select("id", "th", "class_id")
 
 
-def _gone(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _gone(docs: DataFrame, threshold: float, id_col: str, text_col: str, kept: Scratch) -> DataFrame:
     """(gone_id, gone_th, class_id) of the rows that aren't the least of their group; all other tables of the call are deleted."""
-    work, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    work = Scratch(docs.sparkSession)
     found = groups(docs, threshold=threshold, id_col=id_col, text_col=text_col, work=work).where("id <> class_id")
     out = kept.stored(found.groupBy(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).agg(F.min("class_id").alias("class_id")), "groups")
     work.drop()
@@ -444,13 +445,16 @@ def _gone(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> Data
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (least id of its group, itself included), kept (doc_id = class_id; true without an id)."""
-    gone = _gone(docs, threshold, id_col, text_col)
+    gone = _gone(docs, threshold, id_col, text_col, Scratch(docs.sparkSession))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"))
     placed = rows.join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
     return placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("class_id").isNull().alias("kept"))
 
 
 def one_of_each(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the least of their group, with all their columns."""
-    gone = _gone(docs, threshold, id_col, text_col).drop("class_id")
-    return docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col("gone_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("gone_th")), "left_anti")
+    """The rows of ``docs`` that are the least of their group, with all their columns. Only texts that may go are shuffled."""
+    kept = Scratch(docs.sparkSession)
+    gone = _gone(docs, threshold, id_col, text_col, kept).drop("class_id")
+    own_id, own_th = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`"))
+    may_go = maybe_among(gone.select(F.xxhash64("gone_id", "gone_th").alias("h")), kept)(F.xxhash64(own_id, own_th))
+    return docs.where(~may_go).union(docs.where(may_go).join(gone, (own_id == F.col("gone_id")) & (own_th == F.col("gone_th")), "left_anti"))

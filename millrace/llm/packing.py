@@ -30,14 +30,14 @@ from .encoding import encoder
 STEP = 512
 
 
-def encoded(docs: DataFrame, *, tokenizer: str, end_id: int | None = 1, file_order: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, *, tokenizer: str, end_id: int | None = 1, file_order: bool = False, max_pieces: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, file, at, before, doc_id, n_tokens, ids): ids as little-endian uint32; ``before`` counts the tokens before the row in its partition or, with ``file_order``, in its stretch of a file from ``at`` on."""
     place = (F.input_file_name(), F.input_file_block_start()) if file_order else (F.lit(""), F.lit(0).cast("long"))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), place[0].alias("file"), place[1].alias("at"))
     tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, enc, unit = TaskContext.get().partitionId(), 0, encoder(tokenizer), None
+        part, before, enc, unit = TaskContext.get().partitionId(), 0, encoder(tokenizer, **({"max_pieces": max_pieces} if max_pieces else {})), None
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 some = batch.slice(at, STEP)
@@ -55,15 +55,16 @@ def encoded(docs: DataFrame, *, tokenizer: str, end_id: int | None = 1, file_ord
     return rows.mapInArrow(run, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("at", T.LongType()), T.StructField("before", T.LongType()), T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
 
 
-def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, with_ids: bool = False, file_order: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, with_ids: bool = False, file_order: bool = False, max_pieces: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document: its place in the document and in its sequence.
 
     ``boundary`` marks pieces of sequences that reach over the ends of a partition of pass 1;
     ``padded_length`` is the capacity, or the sequence's own length if that is a power of two.
+    ``max_pieces`` bounds the cache of a worker, which stays with it; the ids are the same.
     With ``file_order``, which needs ``docs`` to be read from files, sequences follow the files' order.
     """
     spark = docs.sparkSession
-    table = stored(encoded(docs, tokenizer=tokenizer, end_id=end_id, file_order=file_order, id_col=id_col, text_col=text_col), "encoded")
+    table = stored(encoded(docs, tokenizer=tokenizer, end_id=end_id, file_order=file_order, max_pieces=max_pieces, id_col=id_col, text_col=text_col), "encoded")
     unit = ["part", "file", "at"]
     totals = sorted((r["file"], r["at"], r["part"], r["n"]) for r in table.groupBy(*unit).agg(F.sum("n_tokens").alias("n")).collect())  # one row for each stretch that was read
     bases, whole = [], 0

@@ -315,3 +315,19 @@ def test_one_huge_row_leaves_the_others_as_they_are(spark):
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)] + [(300, [1e30] * 8), (301, [1.7e308] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk.top_k(df, df, k=20).collect())) == brute_top_k(rows[:-1], 20)  # 64 x of the last is no finite double
+
+
+def test_only_texts_that_may_go_are_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm import common
+
+    keys = spark.range(0, 20000, 10).select(F.xxhash64("id").alias("h"))
+    found = spark.range(20000).where(common.maybe_among(keys, common.Scratch(spark))(F.xxhash64("id"))).toPandas()["id"]
+    assert set(range(0, 20000, 10)) <= set(found) and len(found) < 2000 + 600
+    assert not spark.range(5).where(common.maybe_among(keys.limit(0), common.Scratch(spark))(F.xxhash64("id"))).count()
+    texts = [" ".join(f"w{(i * 97 + j * j) % 5003}" for j in range(40)) for i in range(60)]
+    docs = spark.createDataFrame([(i, texts[i % 50]) for i in range(60)] + [(None, texts[0]), (None, None), (99, None)], "doc_id long, text string")
+    left = near_dup.one_of_each(docs)
+    assert "might_contain" in left._jdf.queryExecution().toString()
+    assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in left.collect() if r["doc_id"] is not None) == [(True, i) for i in [*range(50), 99]] and left.where("doc_id is null").count() == 2

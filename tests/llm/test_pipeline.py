@@ -127,3 +127,25 @@ def test_tables_go_when_the_driver_ends(spark):
     work.drop(a)
     left = os.listdir(shared_dir(spark).removeprefix("file:"))
     assert a.count() == 3 and [os.path.basename(p) in left for p in paths] == [True, False]
+
+
+def test_stages_bound_batches_and_caches(spark):
+    """Texts go to Python in small batches, and a bounded cache gives the same ids."""
+    import corpus_pipeline
+    from millrace.llm import packing
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, bytes_before = spark.conf.get(rows), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.set(rows, "0")
+        corpus_pipeline.small_batches(spark)
+        assert int(spark.conf.get(rows)) == corpus_pipeline.BATCH_ROWS
+        spark.conf.set(rows, "7")
+        corpus_pipeline.small_batches(spark)
+        assert int(spark.conf.get(rows)) == 7
+    finally:
+        spark.conf.set(rows, before)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_before)
+    docs = spark.createDataFrame([(i, f"word{i} some other words {i * i} café") for i in range(40)], "doc_id long, text string").coalesce(1)
+    take = lambda **o: sorted(map(tuple, packing.pack(docs, tokenizer=corpus_pipeline.tokenizer_path(corpus_pipeline.entries.WORD_BPE), **o).collect()))
+    assert take(max_pieces=3) == take()
