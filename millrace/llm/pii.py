@@ -13,10 +13,12 @@ patterns and tokens is scored in rounds: a pattern by the mean score of its plac
 has enough different known tokens; a token by the sure patterns it stands in. Places that
 a sure pattern introduces are spans of kind ``context``; base spans stay as they are.
 
-One pass reads the texts. What it finds (spans, places as numbers, pattern hashes) is a
-table without texts; the graph is made of that. Patterns and tokens that hold a large part
-of it are spread, so no task meets one key's rows. Texts move only to be masked, and then
-only those that have a place of which the graph decides.
+One pass reads the texts for the graph. What it finds (digests of texts, places as numbers,
+pattern hashes) is a table without texts. Patterns and tokens that hold a large part of it are
+spread, so no task meets one key's rows. Where texts are wanted back, that table goes and a
+second pass finds the base spans again and looks up what the graph found in that very text, so
+no text is written in between; rows must be the same each time they are read. A Bloom filter
+rules out most texts without such spans; only the others move.
 
 The expressions match the same spans as the plain ones in ``BASE`` but start only where a
 match can start and never go back over what they took, so they stay linear on long runs.
@@ -29,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, running_totals, spread_join
+from .common import Scratch, free_name, maybe_among, running_totals, spread_join
 
 # The plain forms, in the order in which kinds are listed.
 BASE = {
@@ -145,11 +147,6 @@ def _scanned(rows: DataFrame) -> DataFrame:
     return kinds.select("row", "key", F.array_sort(F.concat(*[f"b_{k}" for k in BASE])).alias("base"), places.alias("places"))
 
 
-def _decided(place: Column) -> Column:
-    """Whether the graph decides of a place: it is part of no base span and has a pattern."""
-    return (place["seed"] < 1) & (F.size(place["patterns"]) > 0)
-
-
 def sure_patterns(graph: DataFrame, work: Scratch) -> DataFrame:
     """(pattern, conf, tokens, places) of the patterns that are sure in the end. ``graph``: (pattern, token, n, score), stored."""
     total = graph.count()
@@ -167,7 +164,7 @@ def sure_patterns(graph: DataFrame, work: Scratch) -> DataFrame:
 
 
 def _discovered(scanned: DataFrame, work: Scratch) -> DataFrame:
-    """(key, more): the spans that sure patterns introduce, for each row that has some."""
+    """(key, more, found): the spans that sure patterns introduce, for each text that has some, and how many they are in all its rows (as many as rows at least)."""
     each = scanned.select("key", F.explode("places").alias("p")).select("key", "p.start", "p.end", "p.token", "p.seed", F.explode("p.patterns").alias("pattern"))
     graph = work.stored(each.groupBy("pattern", "token").agg(F.count("*").alias("n"), F.max("seed").alias("score")), "graph")
     sure = sure_patterns(graph, work)
@@ -175,21 +172,25 @@ def _discovered(scanned: DataFrame, work: Scratch) -> DataFrame:
     free = each.where("seed < 1").select("key", "pattern", span)
     total = graph.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = spread_join(free, sure.select("pattern", "places"), ["pattern"], "places", total)
-    return found.groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("more"))
+    return found.groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("more"), F.count("*").alias("found"))
 
 
 def with_spans(docs: DataFrame, *, text_col: str = "text", base: str = "base", spans: str = "spans", drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (without the columns in ``drop``) with two further columns: base spans, and all spans, each sorted by start, then kind. The two names must be free."""
     work = Scratch(docs.sparkSession)
     keep = [c for c in docs.columns if c not in drop]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    scanned = work.stored(_scanned(rows), "scanned")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), text.alias("text"))
+    found, apart = _scanned(rows), text_col not in drop
+    scanned = work.stored(found.select("key", "places") if apart else found, "scanned")
     more = work.stored(_discovered(scanned, work), "discovered")
-    is_open = F.exists("places", _decided)
-    decided = scanned.where(is_open).select("key", "row", "base").join(more, "key", "left").select("row", "base", "more")
-    out = scanned.where(~is_open).select("row", "base", F.lit(None).cast(SPAN).alias("more")).union(decided)
+    work.drop(more, *[scanned] * (not apart))
+    total = more.agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
+    may = maybe_among(more.select(F.xxhash64("key").alias("h")), work)(F.xxhash64("key"))
+    based = (found if apart else scanned).select("row", "key", "base")
+    met = spread_join(based.where(may), more, ["key"], "found", total, "left").select("row", "base", "more")
+    out = based.where(~may).select("row", "base", F.lit(None).cast(SPAN).alias("more")).union(met)
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
-    work.drop(scanned, more)
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("base").alias(base), every.alias(spans))
 
 

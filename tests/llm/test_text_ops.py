@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ pytest.importorskip("millrace.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from millrace.llm import chat, entries, language, mixing, packing, pii, records, token_cache  # noqa: E402
+from millrace.llm.common import shared_dir  # noqa: E402
 from millrace.llm.encoding import TextEncoder, tokenizer_path  # noqa: E402
 
 ODD = [None, "", " ", "  a", "a  b", "a\n\nb", "a \n b", "x ", "it's the'll 's <|endoftext|> q", "É İstanbul ΣΑΣ ς", "a\tb", "tilde ~ x~y", "don't, 'tis 12,345.67!? ok...", "\na\n", "日本語 テスト, 한국어.", "\x1c x", "w" * 5000, "same text here", "same text here"]
@@ -268,6 +270,23 @@ def test_pii_context_discovers(spark, monkeypatch, heavy):
     assert pii.masked(docs.where("false")).count() == 0
 
 
+def test_pii_leaves_no_texts_behind(spark):
+    """Tables that stay until the driver ends hold spans, not texts; contextual spans are still found, in copies too."""
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = [f"{noise(20_000)} under my number {x} {noise(50)}" for x in [*[f"+1 (743) 555-38{i:02d}" for i in range(20)], "0743/5553824", "no 1"]]
+    texts.append(texts[-2])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = pii.masked(docs)
+    left = [os.path.join(at, x) for new in set(os.listdir(folder)) - before for at, _, names in os.walk(os.path.join(folder, new)) for x in names]
+    assert left and sum(map(os.path.getsize, left)) < 0.1 * sum(map(len, texts))
+    clean = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert [clean[i] for i in range(20)] == [re.sub(r"\+1 \(743\) 555-38..", "[PHONE]", t) for t in texts[:20]]
+    assert clean[20] == clean[22] == texts[20].replace("0743/5553824", "[CONTEXT]") and clean[21] == texts[21]
+
+
 def conversations(spark, sf):
     rng = random.Random(1)
     bits = ["\\", "#", "###", "</turn>", "<turn/>", "\\h", "\\e", "\n", ": ", "a", "é", "\\\\", "### user: ", "\\c", "\\t"]
